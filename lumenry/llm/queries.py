@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .canonical import map_items, map_values, typed_values
 from .copies import survey_copies
 from .overlap import overlaps, split_of
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "canonical_label")
+    items = typed_values(table(spark, sf_dir, "theme_annotation"), table(spark, sf_dir, "metadata_entity"))
+    named = labels.select("field_name", F.col("label_name").alias("value"))
+    typed = items.join(named, ["field_name", "value"], "left_anti")
+    return map_items(typed, labels).select("field_name", "item_id", "label_id")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = typed_values(table(spark, sf_dir, "theme_annotation"), table(spark, sf_dir, "metadata_entity"))
+    unmatched = map_values(items, table(spark, sf_dir, "canonical_label")).where("label_id = 0")
+    return items.join(unmatched, ["field_name", "value"]).groupBy("field_name", "value").agg(F.count("*").alias("items"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     survey = table(spark, sf_dir, "survey")
     found = overlaps(survey, "row_id", "raw_text", split_of(F.col("split"), F.col("example_id"), F.col("row_id")))
@@ -27,7 +42,7 @@ def p7_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts}
 
 
 def oracle_sql() -> dict[str, str]:
