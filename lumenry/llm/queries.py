@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .canonical import map_items, map_values, typed_values
 from .copies import survey_copies
+from .encoding import encode
 from .overlap import overlaps, split_of
 
 
@@ -41,8 +42,12 @@ def p7_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("row_id") == F.col("first_row_id")).select("first_row_id", "copies")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
