@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .canonical import map_items, map_values, typed_values
 from .copies import survey_copies
-from .encoding import encode
+from .encoding import encode, token_counts
 from .overlap import overlaps, split_of
+from .packing import fill, pack_documents
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +47,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack_documents(counts, table(spark, sf_dir, "container_spec"))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p9_containers(spark, sf_dir), table(spark, sf_dir, "container_spec"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
