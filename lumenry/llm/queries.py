@@ -9,6 +9,7 @@ from ..sources.tables import table
 from .canonical import map_items, map_values, typed_values
 from .copies import survey_copies
 from .encoding import encode, token_counts
+from .garbled import repaired, train
 from .overlap import overlaps, split_of
 from .packing import fill, pack_documents
 
@@ -56,8 +57,18 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p9_containers(spark, sf_dir), table(spark, sf_dir, "container_spec"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return repaired(docs, "doc_id", "text", train(docs, "doc_id", "text")).where("garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return repaired(docs, "doc_id", "text", train(docs, "doc_id", "text")).where("garbled").select("doc_id", "restored")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
