@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .alike import count_signs, plain_forms, survey_texts
 from .canonical import map_items, map_values, typed_values
 from .copies import survey_copies
 from .encoding import encode, token_counts
@@ -28,6 +29,19 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(unmatched, ["field_name", "value"]).groupBy("field_name", "value").agg(F.count("*").alias("items"))
 
 
+def _plain_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = survey_texts(table(spark, sf_dir, "survey"), table(spark, sf_dir, "theme_annotation"))
+    return plain_forms(texts, ["origin", "item_id", "phrase_no"], count_signs(texts))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_survey(spark, sf_dir).where("disguised").select("origin", "item_id", "phrase_no")
+
+
+def p4_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_survey(spark, sf_dir).select("origin", "item_id", "phrase_no", "plain")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     survey = table(spark, sf_dir, "survey")
     found = overlaps(survey, "row_id", "raw_text", split_of(F.col("split"), F.col("example_id"), F.col("row_id")))
@@ -68,7 +82,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
