@@ -13,6 +13,8 @@ from .encoding import encode, token_counts
 from .garbled import repaired, train
 from .overlap import overlaps, split_of
 from .packing import fill, pack_documents
+from .sentences import sentence_units, survey_and_sentences
+from .sentences import train as train_sentences
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,11 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(unmatched, ["field_name", "value"]).groupBy("field_name", "value").agg(F.count("*").alias("items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = survey_and_sentences(table(spark, sf_dir, "survey"), table(spark, sf_dir, "sentence_sentiment"))
+    return sentence_units(texts, ["origin", "item_id"], train_sentences(texts)).select("origin", "item_id", "start_char", "end_char")
+
+
 def _plain_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = survey_texts(table(spark, sf_dir, "survey"), table(spark, sf_dir, "theme_annotation"))
     return plain_forms(texts, ["origin", "item_id", "phrase_no"], count_signs(texts))
@@ -82,7 +89,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
