@@ -11,6 +11,8 @@ from .canonical import map_items, map_values, typed_values
 from .copies import survey_copies
 from .encoding import encode, token_counts
 from .garbled import repaired, train
+from .languages import label_code, label_stretches, mislabelled
+from .languages import train as train_languages
 from .overlap import overlaps, split_of
 from .packing import fill, pack_documents
 from .sentences import sentence_units, survey_and_sentences
@@ -55,6 +57,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
 
 
+def _survey_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "survey").select("row_id", F.col("raw_text").alias("text"), label_code(F.col("language")).alias("label"))
+    sentences = train_sentences(rows)
+    return label_stretches(rows, "row_id", train_languages(rows, sentences), sentences)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(_survey_languages(spark, sf_dir), "row_id").drop("confidence")
+
+
+def p6_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survey_languages(spark, sf_dir).select("row_id", "label", F.inline("stretches"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = survey_copies(table(spark, sf_dir, "survey"))
     return found.where(F.col("row_id") != F.col("first_row_id")).select("first_row_id", "row_id")
@@ -89,7 +105,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
