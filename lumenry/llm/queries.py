@@ -15,6 +15,7 @@ from .languages import label_code, label_stretches, mislabelled
 from .languages import train as train_languages
 from .overlap import overlaps, split_of
 from .packing import fill, pack_documents
+from .personal import personal_data
 from .sentences import sentence_units, survey_and_sentences
 from .sentences import train as train_sentences
 
@@ -38,6 +39,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(texts, ["origin", "item_id"], train_sentences(texts)).select("origin", "item_id", "start_char", "end_char")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "survey").select("row_id", F.col("raw_text").alias("text"))
+    return personal_data(rows, "row_id").select("row_id", F.inline("pieces"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "survey").select("row_id", F.col("raw_text").alias("text"))
+    return personal_data(rows, "row_id").select("row_id", "redacted")
+
+
 def _plain_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = survey_texts(table(spark, sf_dir, "survey"), table(spark, sf_dir, "theme_annotation"))
     return plain_forms(texts, ["origin", "item_id", "phrase_no"], count_signs(texts))
@@ -105,7 +116,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
