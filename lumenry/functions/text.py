@@ -137,6 +137,12 @@ def extract_json(text: Column) -> Column:
     return F.when(is_missing(text), "").when(found != "", found).otherwise(bare)
 
 
+def parse_json(c: Column) -> Column:
+    """The JSON value of the whole text (variant); null where it is malformed or something follows the value."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def multi_hot(vocabulary: Column, labels: Column) -> Column:
     return F.transform(vocabulary, lambda v: F.array_contains(labels, v).cast("int"))
 

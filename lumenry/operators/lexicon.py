@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import all_spans, key_text
 from .spans import greedy_nonoverlap
 
-#: Lexicons up to this size are matched in every text; larger ones through the words that they begin with.
-SMALL_LEXICON = 2_000
+#: Signs of a phrase's beginning that texts are joined on.
+ANCHOR = 4
 
 
 def train(spans: DataFrame) -> DataFrame:
@@ -25,13 +25,17 @@ def label_counts(spans: DataFrame) -> DataFrame:
 def predict(docs: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, spans): of each text the phrases' occurrences, longest first, without overlaps. All rows come out.
 
-    Texts meet only phrases whose first word they hold, by an equality join on words, so the work grows with
-    the hits and not with texts times phrases. Phrases that begin inside a word aren't found.
+    Texts meet only phrases whose beginning they hold: the first signs of a phrase join the texts' runs of as
+    many signs on equality, so the work grows with texts and hits and not with texts times phrases, and a
+    phrase is found within words too, as in scripts without spaces.
     """
-    first = lambda c: F.get(F.filter(F.split(F.lower(c), r"(?U)[^\w']+"), lambda w: w != ""), F.lit(0))
-    entries = lexicon.select("phrase", "type", first(F.col("phrase")).alias("word")).where("word is not null")
-    words = docs.select(key, "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)[^\w']+"))).alias("word"))
-    met = words.join(entries, "word").where(F.contains(F.lower("text"), F.col("phrase")))
+    size = F.least(F.length("phrase"), F.lit(ANCHOR))
+    entries = lexicon.where("phrase <> ''").select("phrase", "type", size.alias("n"), F.substring("phrase", 1, ANCHOR).alias("anchor"))
+    sizes = entries.agg(F.collect_set("n").alias("sizes"))  # one row of at most ANCHOR numbers
+    low = docs.select(key, "text", F.lower("text").alias("low")).where("text is not null").crossJoin(F.broadcast(sizes))
+    runs = low.select(key, "text", "low", F.explode("sizes").alias("n")).where(F.length("low") >= F.col("n"))
+    anchors = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda i: F.substring("low", i, F.col("n"))))
+    met = runs.select(key, "text", "low", "n", F.explode(anchors).alias("anchor")).join(entries, ["n", "anchor"]).where(F.contains("low", F.col("phrase")))
     hits = met.select(key, "phrase", "type", F.inline(all_spans(F.col("text"), F.col("phrase"))))
     order = F.struct((-F.length("phrase")).alias("rank"), "phrase", "start", "end", "type")
     ordered = F.transform(F.array_sort(F.collect_list(order)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["type"].alias("type")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_missing, sentiment, strip
+from ..functions.text import is_missing, parse_json, sentiment, strip
 
 ANALYSIS = (
     "struct<overall_sentiment:string,sentiment_score:double,"
@@ -21,6 +21,11 @@ def _get(v: Column, kind: str, *names: str) -> Column:
     return F.coalesce(*[F.try_variant_get(v, f"$.{n}", kind) for n in names])
 
 
+def _number(v: Column, default: float, *names: str) -> Column:
+    """The first of the fields as a number: the default if none is there, null if it is no number."""
+    return F.when(_get(v, "variant", *names).isNull(), F.lit(default)).otherwise(_get(v, "double", *names))
+
+
 def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
@@ -41,7 +46,8 @@ def analysis_of(text: Column, payload: Column) -> Column:
     body = F.coalesce(F.try_variant_get(payload, "$.text_analysis", "variant"), payload)
     overall = F.try_variant_get(body, "$.overall_sentiment", "variant")
     label = sentiment(F.when(_is_object(overall), _get(overall, "string", "sentiment", "label")).otherwise(F.try_variant_get(overall, "$", "string")))
-    score = F.coalesce(_get(body, "double", "sentiment_score", "overall_sentiment_score"), F.when(_is_object(overall), _get(overall, "double", "score")), F.lit(0.0))
+    outer = _get(body, "variant", "sentiment_score", "overall_sentiment_score").isNotNull()
+    score = F.when(outer | ~F.coalesce(_is_object(overall), F.lit(False)), _number(body, 0.0, "sentiment_score", "overall_sentiment_score")).otherwise(_number(overall, 0.0, "score"))
     themes = _get(body, _ITEMS, "main_themes", "themes")
     emotions = F.when(F.try_variant_get(body, "$.main_themes", _ITEMS).isNull(), _get(body, _ITEMS, "emotions"))
 
@@ -52,8 +58,8 @@ def analysis_of(text: Column, payload: Column) -> Column:
         return F.struct(
             strip(F.when(_is_object(t), _get(t, "string", "theme", "name", "label")).otherwise(F.try_variant_get(t, "$", "string"))).alias("theme"),
             F.coalesce(sentiment(_get(t, "string", "theme_sentiment", "sentiment")), label).alias("theme_sentiment"),
-            F.coalesce(_get(t, "double", "theme_sentiment_score", "score"), F.lit(0.0)).alias("theme_sentiment_score"),
-            F.coalesce(_get(t, "double", "theme_relevance_score", "relevance"), F.lit(1.0)).alias("theme_relevance_score"),
+            _number(t, 0.0, "theme_sentiment_score", "score").alias("theme_sentiment_score"),
+            _number(t, 1.0, "theme_relevance_score", "relevance").alias("theme_relevance_score"),
             strip(F.when(nested, _get(emotion, "string", "emotion", "label", "name")).otherwise(F.try_variant_get(emotion, "$", "string"))).alias("emotion"),
             F.coalesce(sentiment(_get(t, "string", "emotion_sentiment")), F.when(nested, sentiment(_get(emotion, "string", "sentiment"))), label).alias("emotion_sentiment"),
             F.coalesce(_get(t, "double", "emotion_intensity_score"), F.when(nested, _get(emotion, "double", "intensity", "score")), F.lit(1.0)).alias("emotion_intensity_score"),
@@ -61,12 +67,12 @@ def analysis_of(text: Column, payload: Column) -> Column:
         )
 
     def sentence(s: Column) -> Column:
-        return F.struct(strip(_get(s, "string", "sentence", "text")).alias("sentence"), sentiment(_get(s, "string", "sentence_sentiment", "sentiment")).alias("sentence_sentiment"), F.coalesce(_get(s, "double", "sentence_sentiment_score", "score"), F.lit(0.0)).alias("sentence_sentiment_score"))
+        return F.struct(strip(_get(s, "string", "sentence", "text")).alias("sentence"), sentiment(_get(s, "string", "sentence_sentiment", "sentiment")).alias("sentence_sentiment"), _number(s, 0.0, "sentence_sentiment_score", "score").alias("sentence_sentiment_score"))
 
     def entity(m: Column) -> Column:
         return F.struct(
             strip(_get(m, "string", "metadata_type", "entity_type", "type")).alias("metadata_type"), strip(_get(m, "string", "metadata_name", "text")).alias("metadata_name"),
-            sentiment(_get(m, "string", "metadata_sentiment", "sentiment")).alias("metadata_sentiment"), F.coalesce(_get(m, "double", "metadata_sentiment_score", "score"), F.lit(0.0)).alias("metadata_sentiment_score"),
+            sentiment(_get(m, "string", "metadata_sentiment", "sentiment")).alias("metadata_sentiment"), _number(m, 0.0, "metadata_sentiment_score", "score").alias("metadata_sentiment_score"),
         )
 
     items = lambda *names: F.coalesce(_get(body, _ITEMS, *names), F.array().cast(_ITEMS))
@@ -92,7 +98,7 @@ def is_valid(analysis: Column) -> Column:
 
 def with_analysis(rows: DataFrame, text: str, payload: str) -> DataFrame:
     """Adds `analysis` and `is_valid`. A payload that is null, malformed or no object gives null and false."""
-    variant = F.when(~is_missing(F.col(payload)), F.try_parse_json(payload))
+    variant = F.when(~is_missing(F.col(payload)), parse_json(F.col(payload)))
     found = rows.withColumn("_payload", variant).withColumn("analysis", analysis_of(F.col(text), F.col("_payload"))).drop("_payload")
     return found.withColumn("is_valid", F.coalesce(is_valid(F.col("analysis")), F.lit(False)))
 
@@ -100,7 +106,7 @@ def with_analysis(rows: DataFrame, text: str, payload: str) -> DataFrame:
 def legacy_payload(overall: Column, score: Column, sentences: Column, metadata: Column, themes: Column) -> Column:
     """The older separate columns as one JSON payload; null if all are missing. JSON columns that don't parse count as absent."""
     parts = F.to_json(F.struct(overall.alias("overall_sentiment"), F.coalesce(score, F.lit(0.0)).alias("sentiment_score")))
-    extra = lambda name, c: F.concat(F.lit(f',"{name}":'), F.coalesce(F.to_json(F.try_parse_json(c)), F.lit("[]")))
+    extra = lambda name, c: F.concat(F.lit(f',"{name}":'), F.coalesce(F.to_json(parse_json(c)), F.lit("[]")))
     whole = F.concat(F.regexp_replace(parts, r"\}$", ""), extra("sentence_sentiments", sentences), extra("metadata", metadata), extra("main_themes", themes), F.lit("}"))
     return F.when(~(is_missing(overall) & is_missing(sentences) & is_missing(metadata) & is_missing(themes)), whole)
 
@@ -109,12 +115,12 @@ def tag_labels(c: Column) -> Column:
     """(start, end, type) from a JSON array, offsets and type under either name; bad ones left out; sorted."""
     item = lambda v: F.struct(_get(v, "int", "start", "start_char").alias("start"), _get(v, "int", "end", "end_char").alias("end"), strip(_get(v, "string", "type", "entity_type")).alias("type"))
     good = lambda t: F.coalesce((t["start"] >= 0) & (t["end"] > t["start"]) & (t["type"] != ""), F.lit(False))
-    return F.array_sort(F.filter(F.transform(F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", _ITEMS), F.array().cast(_ITEMS)), item), good))
+    return F.array_sort(F.filter(F.transform(F.coalesce(F.try_variant_get(parse_json(c), "$", _ITEMS), F.array().cast(_ITEMS)), item), good))
 
 
 def predicted_tags(c: Column) -> Column:
     """The labels of a prediction, or null if any of them is bad."""
     item = lambda v: F.struct(_get(v, "int", "start").alias("start"), _get(v, "int", "end").alias("end"), strip(_get(v, "string", "type")).alias("type"))
     good = lambda t: F.coalesce((t["start"] >= 0) & (t["end"] > t["start"]) & (t["type"] != ""), F.lit(False))
-    found = F.transform(F.try_variant_get(F.try_parse_json(c), "$.labels", _ITEMS), item)
+    found = F.transform(F.try_variant_get(parse_json(c), "$.labels", _ITEMS), item)
     return F.when(F.forall(found, good), F.array_sort(found))

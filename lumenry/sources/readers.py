@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import example_id_or_ordinal, is_missing, key_text, named_split, split_or_hash, stable_id, strip
+from ..functions.text import example_id_or_ordinal, is_missing, key_text, parse_json, split_or_hash, stable_id, strip
 from ..operators.normalize import legacy_payload, tag_labels, with_analysis
 from ..operators.tracker import COLUMNS
 
@@ -153,7 +153,7 @@ def read_generic(spark: SparkSession, path: str, config: GenericConfig) -> DataF
 def prediction_rows(lines: DataFrame) -> DataFrame:
     """(ordinal, example_id, payload, is_valid_json, error) of lines (ordinal, value). Blank lines are skipped; one that is no
     object stays, invalid. A record without a `prediction` is its own payload; a null prediction is invalid."""
-    v = F.try_parse_json("value")
+    v = parse_json(F.col("value"))
     kept = lines.where(~is_missing(F.col("value"))).withColumn("v", v)
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     inner = F.try_variant_get("v", "$.prediction", "variant")
