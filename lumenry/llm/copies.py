@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import parse_json
 from .textform import bare, folded, is_blank
 
 NO_VALUE = -1
@@ -19,7 +20,7 @@ NO_VALUE = -1
 
 def canonical_json(c: Column) -> Column:
     """JSON without layout, letter case and field order; what doesn't parse keeps everything but white space and case."""
-    parsed = F.to_json(F.try_parse_json(folded(c)))
+    parsed = F.to_json(parse_json(folded(c)))
     return F.coalesce(F.concat(F.lit("j"), folded(parsed)), F.concat(F.lit("t"), folded(F.regexp_replace(c, r"\s+", ""))))
 
 
