@@ -80,7 +80,7 @@ def pack(items: DataFrame, id_column: str, size_column: str, specs: DataFrame) -
     before = F.sum("n").over(W.partitionBy("spec_id", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("spec_id", "size", "part", F.coalesce(before, F.lit(0)).alias("before"))
     within = F.row_number().over(W.partitionBy("spec_id", "size", "part").orderBy(id_column, "piece_no")) - 1
-    ranked = parted.withColumn("within", within).join(offsets, ["spec_id", "size", "part"]).withColumn("rank", F.col("within") + F.col("before")).drop("within", "before", "part")
+    ranked = parted.withColumn("within", within).join(offsets.hint("merge"), ["spec_id", "size", "part"]).withColumn("rank", F.col("within") + F.col("before")).drop("within", "before", "part")
     spread = ranked.where("size = 0").select("spec_id", id_column, "piece_no", "start", "size", F.pmod("rank", totals[F.col("spec_id")]).alias("container_id"))
     fits = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("items"))
     placed = ranked.where("size > 0").join(slots, ["spec_id", "size"]).where(fits).select("spec_id", id_column, "piece_no", "start", "size", (F.col("first_container") + F.col("rank") - F.col("first_rank")).alias("container_id"))
