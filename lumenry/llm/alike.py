@@ -190,7 +190,7 @@ class Rewriter:
                 own = next(iter(scripts)) if len(scripts) == 1 else ""
                 attached = (start and (text[start - 1].isdigit() or text[start - 1] in "/-") and self._coded(text, start)) or self._code_after(text, start + len(word))
                 if own == "LATIN":
-                    goal = "CYRILLIC" if around == ["CYRILLIC"] * 2 and not attached else own
+                    goal = "CYRILLIC" if around == ["CYRILLIC"] * 2 and not attached and (len(word) == 1 or not word.isupper()) else own  # capitals abbreviate
                 elif own:
                     goal = "LATIN" if attached or ("LATIN" in around and "CYRILLIC" not in around and "GREEK" not in around) else own
                 else:

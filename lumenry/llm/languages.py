@@ -42,7 +42,8 @@ SAMPLE = 300
 FEATURES = 1 << 16
 EPOCHS, PENALTY = 60, 1e-4
 #: A sentence less certain than this takes the language of its neighbours if they agree.
-UNSURE = 0.75
+#: so does one at either end of a text if it is less certain than DOUBTFUL.
+UNSURE, DOUBTFUL = 0.75, 0.6
 CHUNK = 1000
 
 _SCRIPTS = {"ja": "[぀-ヿｦ-ﾟ]", "han": "[㐀-鿿豈-﫿]", "th": "[ก-๛]", "hi": "[ऀ-ॿ]", "ar": "[؀-ۿݐ-ݿ]"}
@@ -177,7 +178,7 @@ def _fit_clean(texts: list[str], first: np.ndarray, second: np.ndarray) -> tuple
     """Fits twice: what the first fit puts clearly on the other side was labelled wrongly."""
     kept = np.flatnonzero(first | second)
     if not first.any() or not second.any():
-        return np.zeros(FEATURES), 1.0 if first.any() else -1.0
+        return np.zeros(FEATURES), float(first.any()) - float(second.any())
     for _ in range(2):
         mine = [texts[i] for i in kept]
         signs = np.where(first[kept], 1.0, -1.0)
@@ -199,7 +200,7 @@ def _stretches(units: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
         after = next((c for c, _ in codes[i + 1 :] if c), "")
         if not code:
             codes[i] = (before or after, UNSURE)
-        elif sure < UNSURE and (before == after or not before or not after) and (before or after):
+        elif (before or after) and (sure < UNSURE and before == after or sure < DOUBTFUL and not (before and after)):
             codes[i] = (before or after, sure)
     found: list[list] = []
     for (start, end, _, _), (code, sure) in zip(units, codes):

@@ -149,7 +149,7 @@ class Model:
     def odds(self, word: str, kind: str, stop: str, following: str, shape: str) -> float:
         left = self.left.get((word, stop))
         if left is None:
-            left = self.left.get((kind, stop), self.prior)
+            left = self.left.get((kind, stop), -0.5 if stop.endswith("q") else self.prior)  # sentences go on after what they quote
         right = self.right.get((following, _mark(stop)))
         if right is None:
             right = self.right.get((shape, _mark(stop)), -2.0 if shape[:1] == "a" else 0.0)

@@ -10,8 +10,8 @@ SEPARATORS = r"[\s\p{Z}\p{P}\p{C}]+"
 
 
 def folded(c: Column) -> Column:
-    """Letter case removed. Through upper case first, so that sharp s and its capital form SS agree."""
-    return F.lower(F.upper(c))
+    """Letter case removed; sharp s becomes ss, as its capital form does."""
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
 def bare(c: Column) -> Column:
