@@ -28,6 +28,8 @@ SPACES = "               　"
 #: Blocks whose characters are forms of others: ligatures, presentation and width forms, letters of mathematics, radicals.
 FORMS = ((0x2F00, 0x2FDF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0xFF01, 0xFFEE), (0x1D400, 0x1D7FF), (0x24B6, 0x24E9), (0x2160, 0x217F))
 POINTS = 0x110000
+#: A word of Latin letters between Cyrillic ones is a disguised one only up to this length; names in Latin letters are longer.
+SHORT = 3
 
 
 class Classes:
@@ -190,7 +192,7 @@ class Rewriter:
                 own = next(iter(scripts)) if len(scripts) == 1 else ""
                 attached = (start and (text[start - 1].isdigit() or text[start - 1] in "/-") and self._coded(text, start)) or self._code_after(text, start + len(word))
                 if own == "LATIN":
-                    goal = "CYRILLIC" if around == ["CYRILLIC"] * 2 and not attached and (len(word) == 1 or not word.isupper()) else own  # capitals abbreviate
+                    goal = "CYRILLIC" if around == ["CYRILLIC"] * 2 and not attached and (len(word) == 1 or len(word) <= SHORT and word.islower()) else own
                 elif own:
                     goal = "LATIN" if attached or ("LATIN" in around and "CYRILLIC" not in around and "GREEK" not in around) else own
                 else:
