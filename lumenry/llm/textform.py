@@ -16,9 +16,8 @@ def folded(c: Column) -> Column:
 
 def bare(c: Column) -> Column:
     """Text without case, white space and punctuation; a text of nothing else keeps its punctuation."""
-    letters = folded(F.regexp_replace(c, SEPARATORS, ""))
-    return F.when(letters == "", folded(F.regexp_replace(c, r"[\s\p{Z}\p{C}]+", ""))).otherwise(letters)
+    return F.when(c.rlike(r"[^\s\p{Z}\p{P}\p{C}]"), folded(F.regexp_replace(c, SEPARATORS, ""))).otherwise(folded(F.regexp_replace(c, r"[\s\p{Z}\p{C}]+", "")))
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (F.regexp_replace(c, r"[\s\p{Z}\p{C}]+", "") == "")
+    return c.isNull() | ~c.rlike(r"[^\s\p{Z}\p{C}]")
