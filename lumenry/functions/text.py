@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTIMENTS = ("positive", "negative", "neutral")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once and named once, however often body uses it: plans stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -140,7 +147,7 @@ def extract_json(text: Column) -> Column:
 def parse_json(c: Column) -> Column:
     """The JSON value of the whole text (variant); null where it is malformed or something follows the value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+    return let(wrapped, lambda w: F.when(F.try_variant_get(w, "$[1]", "variant").isNull(), F.try_variant_get(w, "$[0]", "variant")))
 
 
 def multi_hot(vocabulary: Column, labels: Column) -> Column:
@@ -174,8 +181,10 @@ def experiment_id(run_tag: Column, index: Column, registry_id: Column, stamp: Co
     return F.format_string("%s_%04d_%s_%s", run_tag, index, registry_id, stamp)
 
 
-def decoder_prompt(text: Column) -> Column:
-    return F.concat(F.lit("Analyze the survey response and return one JSON object.\n\nResponse:\n"), strip(text), F.lit("\n\nJSON:\n"))
+def decoder_prompt(text: Column, template: str, instructions: str = "") -> Column:
+    """The template with the text in place of {raw_text}, and the instructions on a line of their own."""
+    before, _, after = template.partition("{raw_text}")
+    return F.concat(F.lit(before), text, F.lit(after + (f"\n{instructions}\n" if instructions else "")))
 
 
 def valid_entity_text(c: Column, least: int = 3) -> Column:

@@ -29,6 +29,13 @@ def aligned(references: DataFrame, predictions: DataFrame, key: str = "key") ->
     return references.join(predictions.withColumn("matched", F.lit(True)), key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def reference_counts(rows: DataFrame, by: Sequence[str] = (), valid: str = "is_valid_json") -> DataFrame:
+    """(by, examples, matched, missing, invalid) of aligned references; a missing prediction is also an invalid one, an unflagged one is valid."""
+    n = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("bigint")
+    bad = ~F.col("matched") | ~F.coalesce(F.col(valid), F.lit(True))
+    return rows.groupBy(*by).agg(F.count("*").alias("examples"), n(F.col("matched")).alias("matched"), n(~F.col("matched")).alias("missing"), n(bad).alias("invalid"))
+
+
 def alignment_counts(predictions: DataFrame, references: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, prediction_rows, unkeyed, duplicates, matched, extra) of keyed predictions against distinct reference keys."""
     known = references.select("key").where("key is not null").distinct().withColumn("known", F.lit(1))

@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import key_text
+from .align import outer_labels
+
 # Default weights of the composite score of nested analyses, and of span tagging.
-ANALYSIS_WEIGHTS = {"overall_sentiment_f1": 0.30, "theme_f1": 0.20, "emotion_f1": 0.20, "sentence_sentiment_f1": 0.15, "metadata_f1": 0.10, "json_schema_compliance": 0.05}
+ANALYSIS_WEIGHTS = {"overall_sentiment_macro_f1": 0.30, "sentence_sentiment_macro_f1": 0.20, "metadata_span_f1": 0.20, "theme_f1": 0.15, "emotion_f1": 0.10, "json_schema_compliance": 0.05}
 TAGGING_WEIGHTS = {"typed_f1": 0.60, "span_f1": 0.30, "json_schema_compliance": 0.10}
 
 
@@ -89,3 +92,52 @@ def composite(scores: Mapping[str, Column], weights: Mapping[str, float]) -> Col
     for name, weight in weights.items():
         found = found + F.lit(weight / total) * F.coalesce(scores.get(name, F.lit(None)).cast("double"), F.lit(0.0))
     return found
+
+
+def entity_keys(text: Column, entities: Column, typed: bool) -> Column:
+    """What identifies each entity: where its name first stands in the text, else the name; with its type if typed."""
+
+    def key(m: Column) -> Column:
+        at = F.call_function("instr", text, m["metadata_name"]) - 1
+        found = at >= 0
+        return F.struct(
+            F.when(found, at).otherwise(-1).alias("start"), F.when(found, at + F.length(m["metadata_name"])).otherwise(-1).alias("end"),
+            F.when(found, "").otherwise(m["metadata_name"]).alias("name"), (key_text(m["metadata_type"]) if typed else F.lit("")).alias("type"),
+        )
+
+    return F.array_distinct(F.transform(entities, key))
+
+
+def score_analyses(rows: DataFrame, by: Sequence[str] = (), weights: Mapping[str, float] | None = None) -> DataFrame:
+    """(by, 12 metrics, val_metric) of rows (id, text, gold, predicted), analyses of which predicted is null if invalid.
+
+    An invalid prediction is the label 'invalid' and has no sentences, entities, themes or emotions. A sentence
+    that only one side has is 'missing' on the other; of equal sentences in a record the last counts. The rows
+    are read once for each metric, so they should be a written table.
+    """
+    by = list(by)
+    none = lambda c, field: F.coalesce(F.transform(c["main_themes"], lambda t: key_text(t[field])), F.array().cast("array<string>"))
+    entities = lambda c, typed: F.coalesce(entity_keys(F.col("text"), c["metadata"], typed), F.array().cast("array<struct<start:int,end:int,name:string,type:string>>"))
+    g, p = F.col("gold"), F.col("predicted")
+    wide = rows.select(
+        *by, "id", g["overall_sentiment"].alias("gold_label"), F.coalesce(p["overall_sentiment"], F.lit("invalid")).alias("predicted_label"), p.isNotNull().alias("valid"),
+        *[f(c, x).alias(f"{side}_{name}") for side, c in (("gold", g), ("predicted", p)) for name, f, x in (("themes", none, "theme"), ("emotions", none, "emotion"), ("spans", entities, False), ("typed", entities, True))],
+    )
+    labels = lambda c: F.transform(F.coalesce(c["sentence_sentiments"], F.array().cast("array<struct<sentence:string,sentence_sentiment:string,sentence_sentiment_score:double>>")), lambda s, i: F.struct(s["sentence"].alias("sentence"), s["sentence_sentiment"].alias("label"), i.alias("place")))
+    last = lambda c: rows.select(*by, "id", F.inline(labels(c))).groupBy(*by, "id", "sentence").agg(F.max_by("label", "place").alias("label"))
+    sentences = outer_labels(last(g), last(p), [*by, "id", "sentence"])
+    parts = [
+        macro_f1(wide, "gold_label", "predicted_label", by).withColumnRenamed("macro_f1", "overall_sentiment_macro_f1"),
+        macro_f1(sentences, "gold", "predicted", by).withColumnRenamed("macro_f1", "sentence_sentiment_macro_f1"),
+        accuracy(sentences, "gold", "predicted", by).withColumnRenamed("accuracy", "sentence_sentiment_accuracy"),
+        *[micro_prf(wide, f"gold_{n}", f"predicted_{n}", by).withColumnsRenamed({k: f"metadata_{m}_{k}" for k in ("precision", "recall", "f1")}) for n, m in (("spans", "span"), ("typed", "typed"))],
+        sample_set_f1(wide, "gold_themes", "predicted_themes", by).withColumnRenamed("set_f1", "theme_f1"),
+        sample_set_f1(wide, "gold_emotions", "predicted_emotions", by).withColumnRenamed("set_f1", "emotion_f1"),
+        compliance(wide, "valid", by),
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.join(part, by, "left") if by else found.crossJoin(part)
+    found = found.fillna(0.0)
+    score_weights = ANALYSIS_WEIGHTS | dict(weights or {})
+    return found.withColumn("val_metric", composite({c: F.col(c) for c in found.columns if c not in by}, score_weights))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_missing, parse_json, sentiment, strip
+from ..functions.text import is_missing, let, parse_json, sentiment, strip
 
 ANALYSIS = (
     "struct<overall_sentiment:string,sentiment_score:double,"
@@ -30,57 +30,86 @@ def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
 
+def _items(v: Column, *names: str) -> Column:
+    """An array field, also one given as JSON text; empty if it isn't there."""
+    return F.coalesce(_get(v, _ITEMS, *names), F.try_variant_get(parse_json(_get(v, "string", *names)), "$", _ITEMS), F.array().cast(_ITEMS))
+
+
+def span_text(source: Column, given: Column, start: Column, end: Column) -> Column:
+    """The given text, or the stretch between the offsets; null if there is neither or they disagree."""
+    cut = F.when((start >= 0) & (end >= start), F.substring(source, start + 1, end - start))
+    return let(F.struct(cut.alias("cut"), given.alias("given")), lambda x: F.when(x["cut"].isNull(), x["given"]).when(x["given"].isNull() | (x["cut"] == x["given"]), x["cut"]))
+
+
 def phrase_texts(text: Column, phrases: Column) -> Column:
-    """Phrases given as strings, or as objects with a text or with offsets into the text."""
+    """Phrases given as strings, or as objects with a text or with offsets into the text; blank ones left out."""
 
     def one(p: Column) -> Column:
         start, end = _get(p, "int", "start_char", "start", "begin"), _get(p, "int", "end_char", "end", "stop")
-        cut = F.when((start >= 0) & (end > start), F.substring(text, start + 1, end - start))
-        return F.when(_is_object(p), strip(F.coalesce(_get(p, "string", "text"), cut))).otherwise(strip(F.try_variant_get(p, "$", "string")))
+        return strip(F.when(_is_object(p), span_text(text, _get(p, "string", "text"), start, end)).otherwise(F.try_variant_get(p, "$", "string")))
 
-    return F.filter(F.transform(F.coalesce(phrases, F.array().cast(_ITEMS)), one), lambda p: p.isNotNull() & (p != ""))
+    return F.filter(F.transform(phrases, one), lambda p: p.isNotNull() & (p != ""))
 
 
 def analysis_of(text: Column, payload: Column) -> Column:
-    """The typed analysis of a JSON payload (variant), unknown fields left out; aliases and older shapes are read too."""
-    body = F.coalesce(F.try_variant_get(payload, "$.text_analysis", "variant"), payload)
+    """The typed analysis of a JSON payload (variant), unknown fields left out; aliases and older shapes are read too.
+
+    What a required field lacks stays null. Only themes and emotions given as two lists inherit the overall sentiment.
+    """
+    found = let(F.coalesce(F.try_variant_get(payload, "$.text_analysis", "variant"), payload), lambda body: let(_head(body), lambda head: _analysis(text, body, head)))
+    return F.when(F.coalesce(_is_object(payload), F.lit(False)), found)
+
+
+def _head(body: Column) -> Column:
+    """(label, score, zipped, emotions): what is overall, and the emotions that go with themes by place if there are such."""
     overall = F.try_variant_get(body, "$.overall_sentiment", "variant")
-    label = sentiment(F.when(_is_object(overall), _get(overall, "string", "sentiment", "label")).otherwise(F.try_variant_get(overall, "$", "string")))
-    outer = _get(body, "variant", "sentiment_score", "overall_sentiment_score").isNotNull()
-    score = F.when(outer | ~F.coalesce(_is_object(overall), F.lit(False)), _number(body, 0.0, "sentiment_score", "overall_sentiment_score")).otherwise(_number(overall, 0.0, "score"))
-    themes = _get(body, _ITEMS, "main_themes", "themes")
-    emotions = F.when(F.try_variant_get(body, "$.main_themes", _ITEMS).isNull(), _get(body, _ITEMS, "emotions"))
-
-    def theme(t: Column, i: Column) -> Column:
-        zipped = F.get(emotions, i)
-        emotion = F.coalesce(F.try_variant_get(t, "$.emotion", "variant"), zipped)
-        nested = _is_object(emotion)
+
+    def of(o: Column) -> Column:
+        nested = F.coalesce(_is_object(o), F.lit(False))
+        label = sentiment(F.when(nested, _get(o, "string", "sentiment", "label")).otherwise(F.try_variant_get(o, "$", "string")))
+        scored = nested & F.try_variant_get(o, "$.score", "variant").isNotNull()
+        score = F.when(scored, _get(o, "double", "score")).otherwise(_get(body, "double", "sentiment_score", "overall_sentiment_score"))
+        emotions = F.when(F.try_variant_get(body, "$.main_themes", "variant").isNull(), _items(body, "emotions"))
+        return F.struct(label.alias("label"), score.alias("score"), emotions.alias("emotions"))
+
+    return let(overall, of)
+
+
+def _theme(text: Column, t: Column, i: Column, head: Column) -> Column:
+    zipped = F.coalesce(F.size(head["emotions"]) > 0, F.lit(False))
+    emotion = F.when(zipped, F.get(head["emotions"], i)).otherwise(F.try_variant_get(t, "$.emotion", "variant"))
+
+    def of(e: Column) -> Column:
+        within = F.coalesce(_is_object(e), F.lit(False))
+        given = F.when(within, _get(e, "string", "emotion_sentiment", "sentiment")).otherwise(_get(t, "string", "emotion_sentiment"))
+        intensity = F.when(within, _number(e, 1.0, "emotion_intensity_score", "intensity")).otherwise(_number(t, 1.0, "emotion_intensity_score"))
+        inherited = lambda c: let(c, lambda x: F.when(zipped & x.isNull(), head["label"]).otherwise(sentiment(x)))
         return F.struct(
-            strip(F.when(_is_object(t), _get(t, "string", "theme", "name", "label")).otherwise(F.try_variant_get(t, "$", "string"))).alias("theme"),
-            F.coalesce(sentiment(_get(t, "string", "theme_sentiment", "sentiment")), label).alias("theme_sentiment"),
-            _number(t, 0.0, "theme_sentiment_score", "score").alias("theme_sentiment_score"),
-            _number(t, 1.0, "theme_relevance_score", "relevance").alias("theme_relevance_score"),
-            strip(F.when(nested, _get(emotion, "string", "emotion", "label", "name")).otherwise(F.try_variant_get(emotion, "$", "string"))).alias("emotion"),
-            F.coalesce(sentiment(_get(t, "string", "emotion_sentiment")), F.when(nested, sentiment(_get(emotion, "string", "sentiment"))), label).alias("emotion_sentiment"),
-            F.coalesce(_get(t, "double", "emotion_intensity_score"), F.when(nested, _get(emotion, "double", "intensity", "score")), F.lit(1.0)).alias("emotion_intensity_score"),
-            phrase_texts(text, _get(t, _ITEMS, "theme_associated_phrases", "phrases")).alias("theme_associated_phrases"),
-        )
+            strip(_get(t, "string", "theme")).alias("theme"), inherited(_get(t, "string", "theme_sentiment", "sentiment")).alias("theme_sentiment"),
+            _number(t, 0.0, "theme_sentiment_score", "score").alias("theme_sentiment_score"), _number(t, 1.0, "theme_relevance_score", "relevance").alias("theme_relevance_score"),
+            strip(F.when(within, _get(e, "string", "emotion")).otherwise(F.try_variant_get(e, "$", "string"))).alias("emotion"),
+            inherited(given).alias("emotion_sentiment"), intensity.alias("emotion_intensity_score"), phrase_texts(text, _items(t, "theme_associated_phrases", "associated_phrases")).alias("theme_associated_phrases"),
+        )
+
+    return let(emotion, of)
+
+
+def _analysis(text: Column, body: Column, head: Column) -> Column:
+    place = lambda v: (_get(v, "int", "start_char", "start"), _get(v, "int", "end_char", "end"))
 
     def sentence(s: Column) -> Column:
-        return F.struct(strip(_get(s, "string", "sentence", "text")).alias("sentence"), sentiment(_get(s, "string", "sentence_sentiment", "sentiment")).alias("sentence_sentiment"), _number(s, 0.0, "sentence_sentiment_score", "score").alias("sentence_sentiment_score"))
+        return F.struct(strip(span_text(text, _get(s, "string", "sentence", "text"), *place(s))).alias("sentence"), sentiment(_get(s, "string", "sentence_sentiment", "sentiment")).alias("sentence_sentiment"), _number(s, 0.0, "sentence_sentiment_score", "score").alias("sentence_sentiment_score"))
 
     def entity(m: Column) -> Column:
         return F.struct(
-            strip(_get(m, "string", "metadata_type", "entity_type", "type")).alias("metadata_type"), strip(_get(m, "string", "metadata_name", "text")).alias("metadata_name"),
+            strip(_get(m, "string", "metadata_type", "entity_type", "type")).alias("metadata_type"), strip(span_text(text, _get(m, "string", "metadata_name", "text"), *place(m))).alias("metadata_name"),
             sentiment(_get(m, "string", "metadata_sentiment", "sentiment")).alias("metadata_sentiment"), _number(m, 0.0, "metadata_sentiment_score", "score").alias("metadata_sentiment_score"),
         )
 
-    items = lambda *names: F.coalesce(_get(body, _ITEMS, *names), F.array().cast(_ITEMS))
-    built = F.struct(
-        label.alias("overall_sentiment"), score.alias("sentiment_score"), F.transform(F.coalesce(themes, F.array().cast(_ITEMS)), theme).alias("main_themes"),
-        F.transform(items("sentence_sentiments", "sentences"), sentence).alias("sentence_sentiments"), F.transform(items("metadata", "metadata_entities"), entity).alias("metadata"),
+    return F.struct(
+        head["label"].alias("overall_sentiment"), head["score"].alias("sentiment_score"), F.transform(_items(body, "main_themes", "themes"), lambda t, i: _theme(text, t, i, head)).alias("main_themes"),
+        F.transform(_items(body, "sentence_sentiments"), sentence).alias("sentence_sentiments"), F.transform(_items(body, "metadata", "metadata_entities"), entity).alias("metadata"),
     )
-    return F.when(F.coalesce(_is_object(payload), F.lit(False)), built)
 
 
 def _in_range(c: Column) -> Column:
@@ -88,9 +117,9 @@ def _in_range(c: Column) -> Column:
 
 
 def is_valid(analysis: Column) -> Column:
-    """Whether all required fields are there and all scores lie between 0 and 1."""
+    """Whether all required fields are there, themes have phrases, and all scores lie between 0 and 1."""
     text = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
-    themes = F.forall(analysis["main_themes"], lambda t: text(t["theme"]) & t["theme_sentiment"].isNotNull() & _in_range(t["theme_sentiment_score"]) & _in_range(t["theme_relevance_score"]) & _in_range(t["emotion_intensity_score"]))
+    themes = F.forall(analysis["main_themes"], lambda t: text(t["theme"]) & text(t["emotion"]) & (F.size(t["theme_associated_phrases"]) > 0) & t["theme_sentiment"].isNotNull() & t["emotion_sentiment"].isNotNull() & _in_range(t["theme_sentiment_score"]) & _in_range(t["theme_relevance_score"]) & _in_range(t["emotion_intensity_score"]))
     sentences = F.forall(analysis["sentence_sentiments"], lambda s: text(s["sentence"]) & s["sentence_sentiment"].isNotNull() & _in_range(s["sentence_sentiment_score"]))
     entities = F.forall(analysis["metadata"], lambda m: text(m["metadata_type"]) & text(m["metadata_name"]) & m["metadata_sentiment"].isNotNull() & _in_range(m["metadata_sentiment_score"]))
     return F.coalesce(analysis["overall_sentiment"].isNotNull() & _in_range(analysis["sentiment_score"]) & themes & sentences & entities, F.lit(False))
@@ -99,13 +128,13 @@ def is_valid(analysis: Column) -> Column:
 def with_analysis(rows: DataFrame, text: str, payload: str) -> DataFrame:
     """Adds `analysis` and `is_valid`. A payload that is null, malformed or no object gives null and false."""
     variant = F.when(~is_missing(F.col(payload)), parse_json(F.col(payload)))
-    found = rows.withColumn("_payload", variant).withColumn("analysis", analysis_of(F.col(text), F.col("_payload"))).drop("_payload")
-    return found.withColumn("is_valid", F.coalesce(is_valid(F.col("analysis")), F.lit(False)))
+    found = rows.withColumn("analysis", let(variant, lambda v: analysis_of(F.col(text), v)))
+    return found.withColumn("is_valid", F.coalesce(let(F.col("analysis"), is_valid), F.lit(False)))
 
 
 def legacy_payload(overall: Column, score: Column, sentences: Column, metadata: Column, themes: Column) -> Column:
     """The older separate columns as one JSON payload; null if all are missing. JSON columns that don't parse count as absent."""
-    parts = F.to_json(F.struct(overall.alias("overall_sentiment"), F.coalesce(score, F.lit(0.0)).alias("sentiment_score")))
+    parts = F.to_json(F.struct(overall.alias("overall_sentiment"), score.alias("sentiment_score")))
     extra = lambda name, c: F.concat(F.lit(f',"{name}":'), F.coalesce(F.to_json(parse_json(c)), F.lit("[]")))
     whole = F.concat(F.regexp_replace(parts, r"\}$", ""), extra("sentence_sentiments", sentences), extra("metadata", metadata), extra("main_themes", themes), F.lit("}"))
     return F.when(~(is_missing(overall) & is_missing(sentences) & is_missing(metadata) & is_missing(themes)), whole)

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import align, bow, lexicon, metrics, normalize, spans, targets, tracker
-from ..sources.tables import table
+from ..operators import align, bow, lexicon, metrics, normalize, predictions, spans, targets, tracker
+from ..sources.tables import cut_lineage, table
 from . import profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,7 +141,7 @@ _BODY = """SELECT row_id, CASE WHEN json_type(j, '$.text_analysis') = 'OBJECT' T
 
 @query(f"""SELECT row_id, CASE WHEN l IN ('positive','negative','neutral') THEN l END AS overall_sentiment, round(score, 6) AS sentiment_score, themes FROM (
     SELECT row_id, lower(trim(coalesce(b->>'$.overall_sentiment.sentiment', b->>'$.overall_sentiment.label', b->>'$.overall_sentiment'))) AS l,
-    coalesce((b->>'$.sentiment_score')::DOUBLE, (b->>'$.overall_sentiment_score')::DOUBLE, (b->>'$.overall_sentiment.score')::DOUBLE, 0) AS score,
+    coalesce((b->>'$.overall_sentiment.score')::DOUBLE, (b->>'$.sentiment_score')::DOUBLE, (b->>'$.overall_sentiment_score')::DOUBLE) AS score,
     coalesce(json_array_length(b, '$.main_themes'), json_array_length(b, '$.themes'), 0)::INT AS themes FROM ({_BODY}))""")
 def payload_normalize(spark, sf_dir):
     rows = table(spark, sf_dir, "survey").where(~fn.is_missing(F.col("response_text"))).select("row_id", "raw_text", "response_text")
@@ -256,6 +256,42 @@ def composite_score(spark, sf_dir):
     return both.select("experiment_id", _r(metrics.composite({c: F.col(c) for c in ("macro_f1", "json_schema_compliance")}, {"macro_f1": 3.0, "json_schema_compliance": 1.0}), "val_metric"))
 
 
+def _analysis_pairs(spark, sf_dir) -> DataFrame:
+    """(experiment_id, id, text, gold, predicted): valid gold analyses against the last predictions; predicted is null if invalid."""
+    refs = align.last_by_key(analyses(spark, sf_dir).where("is_valid").select("key", "raw_text", "analysis", "ingested_at", "row_id"), ["key"], [F.col("ingested_at"), F.col("row_id")])
+    last = _last_predictions(spark, sf_dir).select("experiment_id", "key", "prediction", "is_valid_json", F.lit("").alias("none"))
+    read = normalize.with_analysis(last, "none", "prediction")
+    ok = F.coalesce(F.col("is_valid_json"), F.lit(True)) & F.col("is_valid")
+    read = read.select("experiment_id", "key", F.when(ok, F.col("analysis")).alias("predicted"))
+    return read.join(refs, "key").select("experiment_id", F.col("key").alias("id"), F.col("raw_text").alias("text"), F.col("analysis").alias("gold"), "predicted")
+
+
+@query()
+def score_analyses(spark, sf_dir):
+    found = metrics.score_analyses(cut_lineage(_analysis_pairs(spark, sf_dir)), ["experiment_id"])
+    return found.select("experiment_id", *[_r(F.col(c), c) for c in found.columns if c != "experiment_id"])
+
+
+@query(f"""SELECT split, count(*) AS examples, count(p.key) AS matched, count(*) - count(p.key) AS missing, sum(CASE WHEN p.key IS NULL OR p.is_valid_json = false THEN 1 ELSE 0 END)::BIGINT AS invalid FROM (
+    SELECT nullif(trim(s.example_id), '') AS key, any_value(x.split) AS split FROM survey s JOIN ({_SPLIT}) x USING (row_id) WHERE nullif(trim(s.example_id), '') IS NOT NULL GROUP BY 1 HAVING count(DISTINCT x.split) = 1) r LEFT JOIN (
+    SELECT key, is_valid_json FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, prediction_id DESC) AS rn FROM ({_KEYED}) WHERE key IS NOT NULL) WHERE rn = 1) p USING (key) GROUP BY split""")
+def alignment_by_split(spark, sf_dir):
+    refs = align.keyed(table(spark, sf_dir, "survey"), "example_id").select("row_id", "key").where("key is not null").join(survey_splits(spark, sf_dir).select("row_id", "split"), "row_id")
+    refs = refs.groupBy("key").agg(F.max("split").alias("split"), F.count_distinct("split").alias("n")).where("n = 1").drop("n")
+    last = align.last_by_key(_predictions(spark, sf_dir), ["key"], [F.col("written_at"), F.col("prediction_id")]).select("key", "is_valid_json")
+    return align.reference_counts(align.aligned(refs, last), ["split"])
+
+
+@query()
+def assembled_predictions(spark, sf_dir):
+    a = F.col("analysis")
+    read = analyses(spark, sf_dir).where("analysis is not null and raw_text <> ''")
+    rows = read.select("row_id", F.col("raw_text").alias("text"), a["overall_sentiment"].alias("label"), a["sentiment_score"].alias("score"), a["main_themes"].alias("themes"), a["metadata"].alias("metadata"))
+    made = predictions.assembled(rows)
+    p = F.col("prediction")
+    return made.select("row_id", p["overall_sentiment"].alias("overall_sentiment"), F.size(p["main_themes"]).alias("themes"), F.size(p["sentence_sentiments"]).alias("sentences"), F.size(p["metadata"]).alias("entities"))
+
+
 def _theme_sets(spark, sf_dir) -> DataFrame:
     """(row_id, gold, predicted): themes typed by annotators, against those of the record's payload."""
     gold = table(spark, sf_dir, "theme_annotation").where(~fn.is_missing(F.col("theme"))).groupBy("row_id").agg(F.collect_set(fn.key_text(F.col("theme"))).alias("gold"))

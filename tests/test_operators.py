@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenry.functions.text import spaced_tokens
-from lumenry.operators import align, bow, lexicon, metrics, normalize, spans, targets, tracker
+from lumenry.operators import align, bow, lexicon, metrics, normalize, predictions, spans, targets, tracker
 
 
 def python_macro_f1(pairs):
@@ -65,7 +65,7 @@ def analysis(spark, payload, text="great help desk"):
     return normalize.with_analysis(spark.createDataFrame([(text, payload)], "t string, p string"), "t", "p").first()
 
 
-FULL = '{"text_analysis":{"overall_sentiment":" Positive ","sentiment_score":0.9,"other":1,"main_themes":[{"theme":" Support ","theme_sentiment":"positive","theme_sentiment_score":0.8,"emotion":"joy","theme_associated_phrases":["help desk"," "]}],"sentence_sentiments":[],"metadata":[]}}'
+FULL = '{"text_analysis":{"overall_sentiment":" Positive ","sentiment_score":0.9,"other":1,"main_themes":[{"theme":" Support ","theme_sentiment":"positive","theme_sentiment_score":0.8,"emotion":"joy","emotion_sentiment":"neutral","theme_associated_phrases":["help desk"," "]}],"sentence_sentiments":[],"metadata":[]}}'
 
 
 def test_payload_of_the_present_shape(spark):
@@ -76,14 +76,15 @@ def test_payload_of_the_present_shape(spark):
 
 
 def test_payload_of_older_shapes(spark):
-    r = analysis(spark, '{"overall_sentiment":{"label":"negative","score":0.2},"themes":["Price",{"name":"Staff"}],"emotions":["anger",{"label":"joy","score":0.4}],"metadata_entities":[{"type":"Team","text":"desk","sentiment":"neutral"}],"sentences":[{"text":"so.","sentiment":"neutral","score":0.5}]}')
+    r = analysis(spark, '{"overall_sentiment":{"label":"negative","score":0.2},"themes":[{"theme":"Price"},{"theme":"Staff","sentiment":"neutral"}],"emotions":[{"emotion":"anger"},{"emotion":"joy","intensity":0.4}],"metadata_entities":[{"type":"Team","text":"desk","sentiment":"neutral"}],"sentence_sentiments":[{"start":0,"end":5,"sentiment":"neutral","score":0.5}]}')
     a = r["analysis"]
     assert (a["overall_sentiment"], a["sentiment_score"]) == ("negative", 0.2)
-    assert [(t["theme"], t["emotion"], t["theme_sentiment"]) for t in a["main_themes"]] == [("Price", "anger", "negative"), ("Staff", "joy", "negative")]
-    assert a["metadata"][0]["metadata_type"] == "Team" and a["sentence_sentiments"][0]["sentence"] == "so."
+    assert [(t["theme"], t["emotion"], t["theme_sentiment"]) for t in a["main_themes"]] == [("Price", "anger", "negative"), ("Staff", "joy", "neutral")]
+    assert a["main_themes"][1]["emotion_intensity_score"] == 0.4 and not r["is_valid"]  # themes without phrases
+    assert a["metadata"][0]["metadata_type"] == "Team" and a["sentence_sentiments"][0]["sentence"] == "great"
 
 
-@pytest.mark.parametrize("payload", [None, "", "not json", "[1,2]", '{"overall_sentiment":"great"}', '{"overall_sentiment":"positive","sentiment_score":1.2}', '{"overall_sentiment":"positive","sentiment_score":"abc!"}x'])
+@pytest.mark.parametrize("payload", [None, "", "not json", "[1,2]", '{"overall_sentiment":"positive"}', '{"overall_sentiment":"great"}', '{"overall_sentiment":"positive","sentiment_score":1.2}', '{"overall_sentiment":"positive","sentiment_score":"abc!"}x'])
 def test_bad_payloads_are_marked(spark, payload):
     assert analysis(spark, payload)["is_valid"] is False
 
@@ -164,3 +165,30 @@ def test_targets(spark):
     df = spark.createDataFrame([(["b", " a "],), (["c"],), ([],)], "l array<string>")
     assert targets.vocabulary(df, "l", ["z"]).first()[0] == ["a", "b", "c", "z"]
     assert sorted(r["hot"] for r in targets.with_multi_hot(df, "l").collect()) == [[0, 0, 0], [0, 0, 1], [1, 1, 0]]
+
+
+def test_scores_of_analyses(spark):
+    kind = f"id string, text string, gold {normalize.ANALYSIS}, predicted {normalize.ANALYSIS}"
+    theme = lambda t, e: (t, "positive", 0.5, 1.0, e, "positive", 1.0, ["x"])
+    gold = ("positive", 0.9, [theme("Price", "joy")], [("One.", "positive", 0.5)], [("Team", "desk", "neutral", 0.1)])
+    rows = [("1", "One. the desk", gold, gold), ("2", "One. the desk", gold, None)]
+    got = metrics.score_analyses(spark.createDataFrame(rows, kind)).first().asDict()
+    assert got["overall_sentiment_macro_f1"] == pytest.approx((2 / 3 + 0) / 2) and got["sentence_sentiment_accuracy"] == 0.5
+    assert (got["metadata_span_precision"], got["metadata_span_recall"], got["metadata_typed_f1"]) == pytest.approx((1.0, 0.5, 2 / 3))
+    assert (got["theme_f1"], got["emotion_f1"], got["json_schema_compliance"]) == (0.5, 0.5, 0.5)
+    want = sum(w * got[k] for k, w in metrics.ANALYSIS_WEIGHTS.items())
+    assert got["val_metric"] == pytest.approx(want)
+
+
+def test_assembled_predictions(spark):
+    kind = f"text string, label string, score double, themes {normalize.ANALYSIS.split('main_themes:')[1].split(',sentence_sentiments')[0]}, metadata array<struct<metadata_type:string,metadata_name:string,metadata_sentiment:string,metadata_sentiment_score:double>>"
+    rows = [("The Help Desk. Good!", "Fine", 1.7, [("Support", None, None, None, None, None, None, ["help desk"]), (" ", None, None, None, None, None, None, None)], [(None, "HELP", None, None), ("T", " ", None, None)])]
+    p = predictions.assembled(spark.createDataFrame(rows, kind)).first()["prediction"]
+    assert (p["overall_sentiment"], p["sentiment_score"], [s["sentence"] for s in p["sentence_sentiments"]]) == ("neutral", 1.0, ["The Help Desk.", "Good!"])
+    assert [(t["theme"], t["emotion"], t["theme_associated_phrases"]) for t in p["main_themes"]] == [("Support", "neutral", ["Help Desk"])]
+    assert [(m["metadata_type"], m["metadata_name"]) for m in p["metadata"]] == [("Entity", "Help")]
+
+
+def test_chosen_probabilities(spark):
+    df = spark.createDataFrame([([0.2, 0.6, 0.7],), ([0.1, 0.3, 0.3],), ([],)], "p array<double>")
+    assert [r[0] for r in df.select(predictions.chosen(F.col("p"))).collect()] == [[1, 2], [1], []]

@@ -8,7 +8,7 @@ from lumenry.streaming import live
 
 
 def test_survey_csv(spark, tmp_path):
-    payload = json.dumps({"overall_sentiment": "positive"})
+    payload = json.dumps({"overall_sentiment": "positive", "sentiment_score": 0.5})
     cell = '"' + payload.replace('"', '""') + '"'
     (tmp_path / "survey.csv").write_text(f'﻿id,text,analysis,other\na1," first\nline ",{cell},x\n,second,"not json",y\n', encoding="utf-8")
     rows = sorted(readers.read_survey(spark, str(tmp_path / "survey.csv")).collect(), key=lambda r: r["example_id"])
