@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,15 +35,16 @@ LEGACY = ("cp932", "euc_jp", "gbk", "big5", "cp1251", "koi8_r", "cp866", "cp874"
 #: Decoders whose output is also tried as text of an encoding other than UTF-8.
 SWAPPED = tuple(SINGLE.index(name) for name in ("cp1252", "cp1251", "koi8_r", "cp866"))
 COMMON = tuple(SINGLE.index(name) for name in ("cp1252", "cp1251"))
-#: A text is looked into if a pair of its signs, not both ASCII, has at most this log-likelihood in clean text; a
-#: stretch, if its signs have on average.
-UNLIKELY_PAIR, UNLIKELY = -10.0, -4.5
+#: Characters that are looked into at once, and characters of readings that are scored at once: they bound a task's memory.
+AT_ONCE, SCORED_AT_ONCE = 100_000, 400_000
 
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 #: More western signs beyond ASCII in a row than any language writes.
 _CROWDED = re.compile("[\x80-\xff\u0152-\u0178\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{4,}")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
+#: Signs that two-byte decoders show besides Cyrillic and Greek, whose codes look like sequences: a run needs one of these on.
+WIDE = "\u2e80"
 
 
 def _single_table(name: str) -> dict[str, int]:
@@ -76,23 +77,24 @@ def _through(text: str, table: dict[int, int]) -> bytes:
     return text.translate(table).encode("latin-1")
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=20_000)
 def _legacy(run: str, table_no: int) -> tuple[str, ...]:
     name, table, _, _ = _tables()[table_no]
+    raw = _through(run, table)
     options = []
     for original in LEGACY:
         if original == name:
             continue
-        for text in (run, run[:-1]) if run[-1] < "\x80" else (run,):
+        for size in (len(run), len(run) - 1) if run[-1] < "\x80" else (len(run),):
             try:
-                options.append(_through(text, table).decode(original) + run[len(text) :])
+                options.append(raw[:size].decode(original) + run[size:])
                 break
-            except (UnicodeError, ValueError):
+            except UnicodeError:
                 continue
     return tuple(options)
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=50_000)
 def _multi(run: str) -> tuple[str, ...]:
     """A run of non-ASCII characters as UTF-8 that was read by a multi-byte decoder; what was lost stays lost."""
     options: list[str] = []
@@ -107,7 +109,7 @@ def _multi(run: str) -> tuple[str, ...]:
     return tuple(options)
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=50_000)
 def _utf8_readings(run: str, table_no: int, depth: int) -> tuple[str, ...]:
     """The run as UTF-8 that one decoder showed, and those readings that again are such sequences, decoded further."""
     try:
@@ -118,35 +120,127 @@ def _utf8_readings(run: str, table_no: int, depth: int) -> tuple[str, ...]:
     return (reading, *further)
 
 
-def stretches(text: str) -> Iterator[tuple[int, int, Callable[[], tuple[str, ...]]]]:
-    """(start, end, its readings) of each stretch to which a chain might apply."""
+def stretches(text: str, chains: int) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """(start, end, its readings) of each stretch to which a chain applies; `chains` as `Chains.of_text` has them."""
     for i, (_, _, sequences, dense) in enumerate(_tables()):
-        for m in sequences.finditer(text):
-            yield *m.span(), functools.partial(_utf8_readings, m[0], i, ROUNDS)
-        if i in SWAPPED:
+        if chains >> i & 1:
+            for m in sequences.finditer(text):
+                yield *m.span(), _utf8_readings(m[0], i, ROUNDS)
+        if i in SWAPPED and chains >> (len(SINGLE) + i) & 1:
             for m in dense.finditer(text):
-                yield *m.span(), functools.partial(_legacy, m[0], i)
-    for m in _HIGH.finditer(text):
-        if m.end() - m.start() > 1 and max(m[0]) >= "\u2e80":  # two-byte decoders also show Cyrillic and Greek, whose codes look like sequences
-            yield *m.span(), functools.partial(_multi, m[0])
+                yield *m.span(), _legacy(m[0], i)
+    if chains >> 2 * len(SINGLE) & 1:
+        for m in _HIGH.finditer(text):
+            if max(m[0]) >= WIDE:
+                yield *m.span(), _multi(m[0])
 
 
 @functools.cache
 def _flags() -> np.ndarray:
-    """Of each code point: 1 lost bytes, 2 western beyond ASCII; then of each of the commonest decoders, what begins and what continues UTF-8 sequences."""
+    """Of each code point: 1 lost bytes, 2 western beyond ASCII."""
     flags = np.zeros(POINTS, np.uint8)
     for c in range(0x80, 0x10000):
         flags[c] = (1 if _LOST.match(chr(c)) else 0) | (2 if _CROWDED.match(chr(c) * 4) else 0)
-    for k, i in enumerate(COMMON):
-        for c, b in _tables()[i][1].items():
-            flags[c] |= (4 << 2 * k if 0xC2 <= b <= 0xF4 else 0) | (8 << 2 * k if 0x80 <= b <= 0xBF else 0)
     return flags
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point three bits a single-byte decoder: 0 not among its signs, 1 continues UTF-8 sequences, 2 to 4 begins one of so many bytes, 5 none of these."""
+    kinds = np.zeros(POINTS, np.uint32)
+    for i, (_, table, _, _) in enumerate(_tables()):
+        for c, b in table.items():
+            kinds[c] |= (1 if b < 0xC0 else 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 5) << 3 * i
+    return kinds
+
+
+@functools.cache
+def _bytes_kinds() -> np.ndarray:
+    """The same of bytes."""
+    return np.array([0 if b < 0x80 else 1 if b < 0xC0 else 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 5 for b in range(256)], np.uint8)
+
+
+@functools.cache
+def _codes(name: str) -> np.ndarray:
+    """Of each code point its bytes by a multi-byte decoder as one number, 0 if it has none; what was lost counts as one byte."""
+    signs = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    codes = np.zeros(POINTS, np.uint32)
+    for sign, raw in zip(signs, "\n".join(signs).encode(name, "replace").split(b"\n")):
+        codes[ord(sign)] = 0 if raw == b"?" else int.from_bytes(raw, "big")
+    codes[:0x80], codes[0xFFFD] = np.arange(0x80), 0xFF
+    return codes
+
+
+def _covered(kind: np.ndarray) -> np.ndarray:
+    """Where complete sequences begin, how many bytes they have."""
+    follows = np.concatenate([kind == 1, np.zeros(3, bool)])
+    one, two, three = follows[1:-2], follows[2:-1], follows[3:]
+    return np.where((kind == 2) & one, 2, 0) + np.where((kind == 3) & one & two, 3, 0) + np.where((kind == 4) & one & two & three, 4, 0)
+
+
+class Chains:
+    """Where chains apply in some texts, told on all of them at once.
+
+    of_text: of each text one bit a single-byte decoder of which it has a complete sequence, then one each of which it
+    has two signs, then one if a multi-byte decoder's run is in it. runs: its runs of signs beyond ASCII; whole: of each
+    decoder, how many of them it explains wholly, or by the greater part if it is a multi-byte one.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        cps, starts = codepoints([t + "\n" for t in texts])
+        high = cps > 127
+        kept = high.copy()
+        kept[1:] |= high[:-1]  # with the sign that ends a run
+        at = np.flatnonzero(kept)
+        text_of, cps, high = np.searchsorted(starts, at, "right") - 1, np.minimum(cps[at], POINTS - 1), high[at]
+        begins = high & ~np.concatenate([[False], high[:-1]])
+        run = np.cumsum(begins) - 1
+        self.run_text, sizes = text_of[begins], np.bincount(run[high], minlength=int(begins.sum()))
+        self._texts = len(texts)
+        self.runs, self.signs = self._by_text(np.ones(len(sizes))), self._by_text(sizes)
+        self.of_text, self.whole, self.begun = np.zeros(len(texts), np.int64), [], []
+        kinds = _kinds()[cps]
+        for i in range(len(SINGLE)):
+            kind = kinds >> np.uint32(3 * i) & np.uint32(7)
+            covered = np.bincount(run, _covered(kind), len(sizes)) if len(sizes) else np.zeros(0)
+            self.whole.append(self._by_text(covered == sizes))
+            self.begun.append(np.bincount(text_of[:-1][(kind[:-1] >= 2) & (kind[:-1] <= 4) & (kind[1:] == 1)], minlength=len(texts)) if i in COMMON else None)
+            self.of_text |= (self._by_text(covered) > 0).astype(np.int64) << i
+            if i in SWAPPED:
+                self.of_text |= (np.bincount(text_of[kind > 0], minlength=len(texts)) > 1).astype(np.int64) << (len(SINGLE) + i)
+        wide = np.zeros(len(sizes), bool)
+        wide[run[cps >= ord(WIDE)]] = True
+        for name in MULTI:
+            hit = self._multi_runs(_codes(name)[cps], run, wide)
+            self.whole.append(self._by_text(hit))
+            self.of_text |= (self.whole[-1] > 0).astype(np.int64) << 2 * len(SINGLE)
+
+    def _by_text(self, of_run: np.ndarray) -> np.ndarray:
+        return np.bincount(self.run_text, of_run, self._texts)
+
+    @staticmethod
+    def _multi_runs(codes: np.ndarray, run: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Which runs are mostly sequences in the decoder's bytes."""
+        wide = wide.copy()
+        wide[run[codes == 0]] = False
+        at = wide[run]
+        codes, run = codes[at], run[at]
+        if not len(codes):
+            return wide
+        width = 1 + (codes > 0xFF) + (codes > 0xFFFF)
+        owner = np.repeat(np.arange(len(codes)), width)
+        place = np.arange(len(owner)) - (np.cumsum(width) - width)[owner]
+        raw = codes[owner] >> (8 * (width[owner] - 1 - place)).astype(np.uint32) & np.uint32(0xFF)
+        covered = np.bincount(run[owner], _covered(_bytes_kinds()[raw]), len(wide))
+        size = np.bincount(run[owner][raw > 0x7F], minlength=len(wide)) + np.bincount(run[owner][(raw <= 0x7F) & (width[owner] > 1)], minlength=len(wide))
+        return wide & (covered > 0) & (covered >= 0.6 * size)
+
+
 def has_chain(texts: list[str]) -> np.ndarray:
-    """Of each text whether bytes were lost, western signs crowd, or a twentieth of the signs beyond ASCII begin UTF-8 sequences of the commonest wrong decoders.
+    """Of each text whether bytes were lost, western signs crowd, or a good part of what is beyond ASCII is UTF-8 as one wrong decoder shows it.
 
-    What the rarer decoders garbled stays in the clean records; it is too little to make garbled text likely.
+    A good part is half of a line's runs, wholly so: in clean text of some scripts a few words happen to be such
+    sequences. Of the commonest decoders, it is also a twentieth of the text's signs that begin one.
     """
     cps, starts = codepoints([t + "\n\n\n" for t in texts])
     f = _flags()[np.minimum(cps, POINTS - 1)]
@@ -154,9 +248,13 @@ def has_chain(texts: list[str]) -> np.ndarray:
     west = (f & 2) > 0
     crowded = west[:-3] & west[1:-2] & west[2:-1] & west[3:]
     found = (of_text(np.flatnonzero(f & 1)) > 0) | (of_text(np.flatnonzero(crowded)) > 0)
-    least = 1 + of_text(np.flatnonzero(cps > 127)) // 20
-    for k in range(len(COMMON)):
-        found |= of_text(np.flatnonzero((f[:-1] & (4 << 2 * k) > 0) & (f[1:] & (8 << 2 * k) > 0))) >= least
+    owner = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
+    chains = Chains([line for t in texts for line in t.split("\n")])
+    for whole in chains.whole:
+        found[owner[(whole > 0) & (whole >= 0.5 * chains.runs)]] = True
+    least = 1 + np.bincount(owner, chains.signs, len(texts)) // 20
+    for i in COMMON:
+        found |= np.bincount(owner, chains.begun[i], len(texts)) >= least
     return found
 
 
@@ -169,9 +267,8 @@ class Model:
     margin: float = 2.0
 
     def __post_init__(self) -> None:
-        self._scores: dict[str, float] = {}
         total = max(1.0, float(self.points.sum()))
-        self._single = np.log((self.points + 0.01) / (total + 0.01 * POINTS)).astype(np.float32)
+        self._single = ((self.points + 0.01) / (total + 0.01 * POINTS)).astype(np.float32)
 
     def _likelihoods(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         seen = self.points[np.minimum(a, POINTS - 1)]
@@ -179,72 +276,95 @@ class Model:
         together = np.minimum(self.pairs[_pair(a, b)], np.minimum(seen, self.points[np.minimum(b, POINTS - 1)]))
         # Interpolation: what is known of the pair weighs with what has been seen of its first character.
         weight = seen / (seen + 50.0)
-        return np.log(weight * together / np.maximum(seen, 1) + (1 - weight + 1e-3) * np.exp(self._single[np.minimum(b, POINTS - 1)]))
-
-    def running(self, text: str) -> np.ndarray:
-        """Log-likelihood of the characters up to each one, the first one taken as given."""
-        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        return np.concatenate([[0.0], np.cumsum(self._likelihoods(cps[:-1], cps[1:]))])
-
-    def score(self, text: str) -> float:
-        found = self._scores.get(text)
-        if found is None:
-            if len(self._scores) > 200_000:
-                self._scores.clear()
-            found = self._scores[text] = float(self.running(text)[-1])
-        return found
-
-    def unlikely(self, texts: list[str]) -> set[int]:
-        """The texts that have an unlikely pair with a sign outside ASCII."""
-        cps, starts = codepoints([t + "\n" for t in texts])
-        at = np.flatnonzero((cps[:-1] > 127) | (cps[1:] > 127))
+        return np.log(weight * together / np.maximum(seen, 1) + (1 - weight + 1e-3) * self._single[np.minimum(b, POINTS - 1)])
+
+    def running(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of all characters up to each one, and where each text starts; a text's first one counts with the text before."""
+        cps, starts = codepoints(texts)
         cps = cps.astype(np.int64)
-        at = at[self._likelihoods(cps[at], cps[at + 1]) < UNLIKELY_PAIR]
-        return set((np.searchsorted(starts, at + 1, "right") - 1).tolist())
+        return np.concatenate([[0.0], np.cumsum(self._likelihoods(cps[:-1], cps[1:]), dtype=np.float64)]), starts
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log-likelihood of the characters of each text, the first one taken as given."""
+        found, part, size = [], [], 0
+        for text in [*texts, None]:
+            if part and (text is None or size > SCORED_AT_ONCE):
+                running, starts = self.running(part)
+                found.append(running[starts[1:] - 1] - running[starts[:-1]])
+                part, size = [], 0
+            if text is not None:
+                part.append(text)
+                size += len(text)
+        return np.concatenate(found) if found else np.zeros(0)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * 1_000_003 + b * 7919) & (PAIRS - 1)
 
 
-def restore(text: str, model: Model) -> tuple[str, float]:
-    """The likeliest reading of the whole text, and the log-odds by which accepted readings beat the text as it stood.
+def restore(texts: list[str], model: Model) -> list[tuple[str, float]]:
+    """Of each text its likeliest reading, and the log-odds by which accepted readings beat the text as it stood.
 
-    Chains don't reach across lines, so only lines with an unlikely pair are looked into.
+    Chains don't reach across lines. Every stretch of every line to which a chain applies is scored.
     """
-    lines = text.split("\n")
-    gain = 0.0
-    for i in sorted(model.unlikely(lines)):
-        lines[i], more = _restore_line(lines[i], model)
-        gain += more
-    return "\n".join(lines), gain
+    lines = [[t] if t.isascii() else t.split("\n") for t in texts]
+    gains = [0.0] * len(texts)
+    active = [(i, j) for i, own in enumerate(lines) for j, line in enumerate(own) if not line.isascii()]
+    for _ in range(ROUNDS):
+        changed = []
+        for (i, j), readings in zip(active, readings_of([lines[i][j] for i, j in active], model)):
+            better = [r for r in readings if r[0] > model.margin]
+            if better:
+                lines[i][j], gain = _accept(lines[i][j], better)
+                gains[i] += gain
+                changed.append((i, j))
+        active = [(i, j) for i, j in changed if not lines[i][j].isascii()]
+    return [("\n".join(own), gain) for own, gain in zip(lines, gains)]
+
+
+def readings_of(lines: list[str], model: Model) -> Iterator[list[tuple[float, int, int, str]]]:
+    """(log-odds, start, end, reading) of each line's stretches in their likeliest readings."""
+    part, size = [], 0
+    for line in [*lines, None]:
+        if part and (line is None or size > AT_ONCE):
+            yield from _readings_of(part, model)
+            part, size = [], 0
+        if line is not None:
+            part.append(line)
+            size += len(line)
+
+
+def _readings_of(lines: list[str], model: Model) -> list[list[tuple[float, int, int, str]]]:
+    framed = [f"\n{line}\n" for line in lines]
+    running, starts = model.running(framed)
+    number: dict[str, int] = {}
+    tried = []
+    for k, chains in enumerate(Chains(lines).of_text.tolist()):
+        own = []
+        if chains:
+            for start, end, options in stretches(lines[k], chains):
+                if options:
+                    before, after = framed[k][start], framed[k][end + 1]
+                    own.append((start, end, options, [number.setdefault(before + o + after, len(number)) for o in options]))
+        tried.append(own)
+    scores = model.scores(list(number)).tolist()
+    found = []
+    for k, own in enumerate(tried):
+        at = int(starts[k])
+        best = [(start, end, max((scores[n], o) for n, o in zip(numbers, options))) for start, end, options, numbers in own]
+        found.append([(odds - float(running[at + end + 1] - running[at + start]), start, end, reading) for start, end, (odds, reading) in best])
+    return found
 
 
-def _restore_line(text: str, model: Model) -> tuple[str, float]:
-    gain = 0.0
-    for _ in range(ROUNDS):
-        if text.isascii():
-            break
-        best: list[tuple[float, int, int, str]] = []
-        framed = f"\n{text}\n"
-        running = model.running(framed)
-        for start, end, read in stretches(text):
-            stands = running[end + 1] - running[start]
-            if stands > UNLIKELY * (end - start + 1) or not (options := read()):
-                continue
-            before, after = framed[start], framed[end + 1]
-            readings = max((model.score(before + o + after) - stands, o) for o in options)
-            if readings[0] > model.margin:
-                best.append((readings[0], start, end, readings[1]))
-        if not best:
-            break
-        taken: list[tuple[int, int, str]] = []
-        for odds, start, end, reading in sorted(best, reverse=True):
-            if all(end <= a or start >= b for a, b, _ in taken):
-                taken.append((start, end, reading))
-                gain += odds
-        for start, end, reading in sorted(taken, reverse=True):
-            text = text[:start] + reading + text[end:]
+def _accept(text: str, better: list[tuple[float, int, int, str]]) -> tuple[str, float]:
+    """The text with the likeliest of its better readings that don't overlap, and what they gain."""
+    gain, taken = 0.0, []
+    for odds, start, end, reading in sorted(better, reverse=True):
+        if all(end <= a or start >= b for a, b, _ in taken):
+            taken.append((start, end, reading))
+            gain += odds
+    for start, end, reading in sorted(taken, reverse=True):
+        text = text[:start] + reading + text[end:]
     return text, gain
 
 
@@ -293,7 +413,7 @@ def _validated_margin(held_out: list[str], model: Model) -> float:
     errors = []
     for margin in MARGINS:
         tried = Model(model.points, model.pairs, margin)
-        errors.append((sum((restore(t, tried)[1] > 0) != bad for t, bad in cases), margin))
+        errors.append((sum((gain > 0) != bad for (_, gain), (_, bad) in zip(restore([t for t, _ in cases], tried), cases)), margin))
     return min(errors)[1]
 
 
@@ -309,8 +429,7 @@ def repaired(docs: DataFrame, id_column: str, text_column: str, model: Model) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            odd = shared.value.unlikely([t or "" for t in texts])
-            readings = [restore(t, shared.value) if i in odd else (t, 0.0) for i, t in enumerate(texts)]
+            readings = [(None if t is None else r, gain) for t, (r, gain) in zip(texts, restore([t or "" for t in texts], shared.value))]
             bad = [t is not None and (gain > 0 or _LOST.search(t) is not None) for t, (_, gain) in zip(texts, readings)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bad), pa.array([r for r, _ in readings], pa.string()), pa.array([g for _, g in readings], pa.float64())], [id_column, "garbled", "restored", "log_odds"])
 

@@ -269,3 +269,24 @@ def test_garbled(spark):
     assert got[1001]["restored"] == clean[1] and got[1003]["restored"] == clean[2] and got[1005]["restored"] == "Fine so far.\n" + clean[1]
     assert got[2000]["restored"] is None and got[2001]["restored"] == ""
     assert garbled.repaired(df.limit(0), "doc_id", "text", garbled.train(df.limit(0), "doc_id", "text")).count() == 0
+
+
+def test_texts_garbled_by_any_decoder_are_told_and_found(spark):
+    clean = ["Die Rücksendung kam beschädigt an, für 12 € „bitte warten“.", "La garantía es pequeña y la guía está rota.", "Заказ лежит уже шесть дней, и горячая линия опять не работает.", "配送時間はとても遅いです。返品ラベルが届きません。"]
+
+    def shown(text, name):
+        if name in garbled.MULTI:
+            return text.encode().decode(name, "replace")
+        signs = {b: chr(c) for c, b in garbled._tables()[garbled.SINGLE.index(name)][1].items()}
+        return "".join(chr(b) if b < 0x80 else signs[b] for b in text.encode())
+
+    assert not garbled.has_chain(clean).any()
+    for name in garbled.SINGLE + garbled.MULTI:
+        assert garbled.has_chain([shown(t, name) for t in clean]).all(), name
+    # a third of the non-ASCII texts come from one source that garbles them
+    rows = [(i, t) for i, t in enumerate(clean * 60)]
+    wrong = [(1000 + i, shown(t, name)) for name in ("mac_roman", "koi8_r", "cp437", "cp850") for i, t in enumerate(clean * 30, 1000 * garbled.SINGLE.index(name))]
+    df = spark.createDataFrame(rows + wrong, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in garbled.repaired(df, "doc_id", "text", garbled.train(df, "doc_id", "text")).collect()}
+    assert {i for i, r in got.items() if r["garbled"]} == {i for i, _ in wrong}
+    assert all(got[i]["restored"] == clean[i % 4] for i, _ in wrong)
