@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,6 @@ from .arrays import codepoints
 
 #: Size of the hashed bigram table and of the code point table: they don't grow with the corpus.
 PAIRS, POINTS = 1 << 20, 1 << 17
-#: Held-out clean records on which the margin is chosen, at most; they are a part of those by hash of the id.
-HELD_OUT = 150
 MARGINS = (0.5, 1.0, 2.0, 4.0, 8.0)
 ROUNDS = 3
 
@@ -375,46 +374,73 @@ def _count(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, id_column: str, text_column: str) -> Model:
-    """The model of all clean records; records held out for the margin aren't counted."""
+    """The model of all clean records; those held out for the margin, one in 50 by hash of the id, are counted once it is fixed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, pairs = np.zeros(POINTS, np.int64), np.zeros(PAIRS, np.int64)
+        counts = {held: (np.zeros(POINTS, np.int64), np.zeros(PAIRS, np.int64)) for held in (False, True)}
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            texts = [t for t, bad in zip(texts, has_chain(texts)) if not bad] if texts else []
-            if texts:
-                p, q = _count(texts)
-                points, pairs = points + p, pairs + q
-        for kind, table in (("point", points), ("pair", pairs)):
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at), pa.array(table[at])], ["kind", "cell", "n"])
+            texts = [(t, held) for t, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
+            texts = [x for x, bad in zip(texts, has_chain([t for t, _ in texts])) if not bad] if texts else []
+            for held, (points, pairs) in counts.items():
+                if own := [t for t, h in texts if h == held]:
+                    p, q = _count(own)
+                    points += p
+                    pairs += q
+        for held, tables in counts.items():
+            for kind, table in zip(("point", "pair"), tables):
+                at = np.flatnonzero(table)
+                yield pa.RecordBatch.from_arrays([pa.array([held] * len(at), pa.bool_()), pa.array([kind] * len(at), pa.string()), pa.array(at), pa.array(table[at])], ["held", "kind", "cell", "n"])
 
     held = F.pmod(F.xxhash64(id_column, F.lit("held out")), F.lit(50)) == 0
-    rows = docs.where(F.col(text_column).isNotNull())
-    sums = rows.where(~held).select(text_column).mapInArrow(count, "kind string, cell bigint, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
-    tables = {"point": np.zeros(POINTS), "pair": np.zeros(PAIRS)}
-    for kind, part in sums.groupby("kind"):
-        tables[kind][part["cell"].to_numpy()] = part["n"].to_numpy()
-    model = Model(tables["point"].astype(np.float32), tables["pair"].astype(np.float32))
-    model.margin = _validated_margin([r[0] for r in rows.where(held).select(text_column).limit(HELD_OUT).collect()], model)
-    return model
-
-
-def _validated_margin(held_out: list[str], model: Model) -> float:
-    """The smallest margin that errs least on held-out clean records and on copies of them garbled by each decoder."""
-    clean = [t[:1000] for t in held_out if not t.isascii() and not has_chain([t])[0]]
-    cases = [(t, False) for t in clean]
-    for i, t in enumerate(clean):
-        name, table, _, _ = _tables()[i % len(SINGLE)]
-        shown = {b: chr(c) for c, b in table.items()}
-        cases.append(("".join(chr(b) if b < 0x80 else shown[b] for b in t.encode("utf-8", "replace")), True))
-    if not cases:
-        return model.margin
-    errors = []
-    for margin in MARGINS:
-        tried = Model(model.points, model.pairs, margin)
-        errors.append((sum((gain > 0) != bad for (_, gain), (_, bad) in zip(restore([t for t, _ in cases], tried), cases)), margin))
-    return min(errors)[1]
+    rows = docs.where(F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), held.alias("held"))
+    sums = rows.mapInArrow(count, "held boolean, kind string, cell bigint, n bigint").groupBy("held", "kind", "cell").agg(F.sum("n").alias("n")).toPandas()
+    tables = {(h, kind): np.zeros(size) for h in (False, True) for kind, size in (("point", POINTS), ("pair", PAIRS))}
+    for key, part in sums.groupby(["held", "kind"]):
+        tables[key][part["cell"].to_numpy()] = part["n"].to_numpy()
+    model = Model(tables[False, "point"].astype(np.float32), tables[False, "pair"].astype(np.float32))
+    margin = _validated_margin(rows.where("held").select("text"), model)
+    return Model(*((tables[False, kind] + tables[True, kind]).astype(np.float32) for kind in ("point", "pair")), margin)
+
+
+def garbled_copy(text: str) -> str:
+    """The text as a wrong decoder shows it, one of all by the text's hash."""
+    raw = text.encode("utf-8", "replace")
+    i = zlib.crc32(raw) % len(SINGLE + MULTI)
+    if i >= len(SINGLE):
+        return raw.decode(MULTI[i - len(SINGLE)], "replace")
+    shown = {b: chr(c) for c, b in _tables()[i][1].items()}
+    return "".join(chr(b) if b < 0x80 else shown[b] for b in raw)
+
+
+def errors_by_margin(texts: list[str], model: Model) -> tuple[list[int], int]:
+    """Of each margin, in how many of the texts and of their garbled copies `repaired` would err; and how many these are. Texts that aren't clean, and ASCII, don't count."""
+    texts = [t for t in texts if t and not t.isascii()]
+    clean = [t for t, bad in zip(texts, has_chain(texts)) if not bad] if texts else []
+    copies = [garbled_copy(t) for t in clean]
+    cases = [(t, False) for t in clean] + [(t, True) for t in copies]
+    lines = [(k, line) for k, (t, _) in enumerate(cases) for line in t.split("\n") if not line.isascii()]
+    odds = np.full(len(cases), -np.inf)
+    for (k, _), readings in zip(lines, readings_of([line for _, line in lines], model)):
+        odds[k] = max([odds[k], *(r[0] for r in readings)])
+    # A text is changed just if in its first round some reading is beyond the margin.
+    lost, bad = np.array([_LOST.search(t) is not None for t, _ in cases], bool), np.array([b for _, b in cases], bool)
+    return [int((((odds > margin) | lost) != bad).sum()) for margin in MARGINS], len(cases)
+
+
+def _validated_margin(held_out: DataFrame, model: Model) -> float:
+    """The smallest margin that errs least on all held-out clean records and on their garbled copies."""
+    shared = held_out.sparkSession.sparkContext.broadcast(model)
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, cases = np.zeros(len(MARGINS), np.int64), 0
+        for batch in batches:
+            more, n = errors_by_margin(batch.column(0).to_pylist(), shared.value)
+            total, cases = total + more, cases + n
+        yield pa.RecordBatch.from_arrays([pa.array(MARGINS), pa.array(total), pa.array([cases] * len(MARGINS))], ["margin", "errors", "cases"])
+
+    sums = held_out.mapInArrow(errors, "margin double, errors bigint, cases bigint").groupBy("margin").agg(F.sum("errors").alias("errors"), F.sum("cases").alias("cases")).collect()
+    shared.unpersist()
+    return min(((r["errors"], r["margin"]) for r in sums if r["cases"]), default=(0, model.margin))[1]
 
 
 def repaired(docs: DataFrame, id_column: str, text_column: str, model: Model) -> DataFrame:

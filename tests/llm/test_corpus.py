@@ -290,3 +290,18 @@ def test_texts_garbled_by_any_decoder_are_told_and_found(spark):
     got = {r["doc_id"]: r for r in garbled.repaired(df, "doc_id", "text", garbled.train(df, "doc_id", "text")).collect()}
     assert {i for i, r in got.items() if r["garbled"]} == {i for i, _ in wrong}
     assert all(got[i]["restored"] == clean[i % 4] for i, _ in wrong)
+
+
+def test_margin_is_validated_on_all_held_out_records_which_are_then_counted(spark, monkeypatch):
+    clean = ["La garantía es pequeña y la guía está rota.", "Заказ лежит уже шесть дней, и горячая линия опять не работает."]
+    # long texts: what tells lies beyond the first 1000 characters
+    df = spark.createDataFrame([(i, "x " * 600 + clean[i % 2]) for i in range(20000)], "doc_id bigint, text string").repartition(8)
+    seen = []
+    validated = garbled._validated_margin
+    monkeypatch.setattr(garbled, "_validated_margin", lambda held_out, model: seen.append((held_out.count(), model.points.sum())) or validated(held_out, model))
+    model = garbled.train(df, "doc_id", "text")
+    (held, counted), = seen
+    assert held > 300 and model.points.sum() > counted
+    assert model.points.sum() == sum(len(t) + 1 for t in ("x " * 600 + clean[0], "x " * 600 + clean[1])) * 10000
+    errors, cases = garbled.errors_by_margin(["x " * 600 + t for t in clean] * 200 + ["plain", None], model)
+    assert cases == 800 and errors[garbled.MARGINS.index(model.margin)] == min(errors) == 0
