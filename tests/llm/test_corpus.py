@@ -162,6 +162,24 @@ def test_cross_split_overlap(spark):
     assert overlap.overlaps(df.limit(0), "id", "text", kind).count() == 0
 
 
+def test_overlap_is_compared_on_all_5_grams(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(40)}" for _ in range(50)] for _ in range(40)]
+    rows = [(i, " ".join(w), "train") for i, w in enumerate(base)]
+    for i, w in enumerate(base[:20]):
+        edited = list(w)
+        for k in (8, 17, 26, 35):  # misspelt words are the rarest, and spoil twenty 5-grams
+            edited[k] = f"odd{i}x{k}"
+        rows.append((100 + i, " ".join(edited), "val"))
+        rows.append((200 + i, " ".join([f"new{i}x{k}" for k in range(25)] + w), "test"))  # moved by half its length
+    short = ["we waited six days for this", "the desk was closed again on monday morning", "nobody answered"]
+    rows += [(300 + i, t, "train") for i, t in enumerate(short)]
+    rows += [(310, "we waited six dyas for this", "val"), (311, "the desk was closed on monday morning", "val"), (312, "nobody answerd", "val")]
+    df = spark.createDataFrame(rows, "id bigint, text string, split string")
+    want = {(i, 100 + i) for i in range(20)} | {(i, 200 + i) for i in range(20)} | {(300, 310), (301, 311)}
+    assert {(r["train_id"], r["eval_id"]) for r in overlap.overlaps(df, "id", "text", F.col("split")).collect()} == want
+
+
 def test_language_stretches(spark, sentence_model):
     seen = {
         "en": ["The order was late and the staff were kind to us.", "We waited for the help desk through the whole week.", "This is what they said when we asked about the price."],
