@@ -28,6 +28,12 @@ def with_sentiment_id(df: DataFrame, label: str) -> DataFrame:
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """(split, examples, themes, emotions, entity_types) of normalised examples: counts and sorted distinct names."""
-    names = lambda path: F.array_sort(F.array_distinct(F.flatten(F.collect_set(path))))
     a = F.col("analysis")
-    return df.groupBy("split").agg(F.count("*").alias("examples"), names(a["main_themes"]["theme"]).alias("themes"), names(a["main_themes"]["emotion"]).alias("emotions"), names(a["metadata"]["metadata_type"]).alias("entity_types"))
+    kinds = {"themes": a["main_themes"]["theme"], "emotions": a["main_themes"]["emotion"], "entity_types": a["metadata"]["metadata_type"]}
+    none = F.array().cast("array<struct<kind:string,name:string>>")
+    named = lambda kind, path: F.coalesce(F.transform(path, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name"))), none)
+    each = [named(kind, path) for kind, path in kinds.items()]
+    found = df.select(F.col("split").alias("of"), F.inline(F.concat(*each))).distinct()
+    sets = found.groupBy("of").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(kind) for kind in kinds])
+    counts = df.groupBy("split").agg(F.count("*").alias("examples"))
+    return counts.join(sets, F.col("split").eqNullSafe(F.col("of")), "left").select("split", "examples", *[F.coalesce(kind, F.array().cast("array<string>")).alias(kind) for kind in kinds])

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import safe_float, strip
 
@@ -14,6 +20,10 @@ COLUMNS = (
 )
 
 
+#: Ranges of a log that are ordered by tasks of their own, at most.
+BLOCKS = 128
+
+
 def ranked_by() -> list[Column]:
     return [F.desc("metric"), F.desc("compliance"), F.desc("timestamp_utc"), F.asc("seq")]
 
@@ -36,27 +46,50 @@ def by_family(log: DataFrame) -> DataFrame:
     return rows.groupBy("model_family").agg(F.max("metric").alias("best_val_metric"), best.alias("best_experiment_id"), F.count("*").alias("num_experiments"))
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Adds `block`: the number of the range of `seq`, so that a window over all earlier rows is one within a block and one over the few blocks."""
+    n = min(BLOCKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(rows.approxQuantile("seq", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("seq") > bounds[middle], search(middle + 1, high)).otherwise(search(low, middle))
+
+    return rows.withColumn("block", search(0, len(bounds)))
+
+
+def _with_carried(rows: DataFrame, of_block: Column, carried: Column) -> DataFrame:
+    """Adds `earlier` to rows with a block: what the blocks before hand on. Those are few, so one task orders them."""
+    return rows.join(F.broadcast(rows.groupBy("block").agg(of_block.alias("own")).select("block", carried.alias("earlier"))), "block")
+
+
+def _best_with(rows: DataFrame, until: int) -> tuple[DataFrame, Column]:
+    rows = _with_carried(_blocked(rows), F.max("metric"), F.max("own").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
+    return rows, F.greatest(F.max("metric").over(W.partitionBy("block").orderBy("seq").rowsBetween(W.unboundedPreceding, until)), F.col("earlier"))
+
+
 def decisions(log: DataFrame) -> DataFrame:
-    """(seq, experiment_id, metric, best_before, decision): keep if at least the best of all earlier rows.
+    """(seq, experiment_id, metric, best_before, decision): keep if at least the best of all earlier rows."""
+    rows, best = _best_with(with_numbers(log), -1)
+    return rows.withColumn("best_before", F.coalesce(best, F.lit(0.0))).withColumn("decision", F.when(F.col("metric") >= F.col("best_before"), "keep").otherwise("discard")).select("seq", "experiment_id", "metric", "best_before", "decision")
 
-    The log has one row for each experiment run, so it is ordered in one task.
-    """
-    before = W.orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    best = F.coalesce(F.max("metric").over(before), F.lit(0.0))
-    return with_numbers(log).withColumn("best_before", best).withColumn("decision", F.when(F.col("metric") >= F.col("best_before"), "keep").otherwise("discard")).select("seq", "experiment_id", "metric", "best_before", "decision")
+
+def _kept(log: DataFrame) -> DataFrame:
+    return with_numbers(log).where(F.upper(strip(F.col("status"))) == "KEEP")
 
 
 def running_best(log: DataFrame) -> DataFrame:
     """(seq, experiment_id, metric, best_so_far) of kept rows."""
-    kept = with_numbers(log).where(F.upper(strip(F.col("status"))) == "KEEP")
-    return kept.withColumn("best_so_far", F.max("metric").over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, 0))).select("seq", "experiment_id", "metric", "best_so_far")
+    rows, best = _best_with(_kept(log), 0)
+    return rows.withColumn("best_so_far", best).select("seq", "experiment_id", "metric", "best_so_far")
 
 
 def improvements(log: DataFrame) -> DataFrame:
     """(seq, experiment_id, delta) of kept rows against the kept row before; the first has none and is left out."""
-    w = W.orderBy("seq")
-    kept = with_numbers(log).where(F.upper(strip(F.col("status"))) == "KEEP")
-    return kept.withColumn("delta", F.col("metric") - F.lag("metric").over(w)).where("delta is not null").select("seq", "experiment_id", "delta")
+    rows = _with_carried(_blocked(_kept(log)), F.max_by("metric", "seq"), F.lag("own").over(W.orderBy("block")))
+    return rows.withColumn("delta", F.col("metric") - F.coalesce(F.lag("metric").over(W.partitionBy("block").orderBy("seq")), F.col("earlier"))).where("delta is not null").select("seq", "experiment_id", "delta")
 
 
 def outcome_counts(log: DataFrame) -> DataFrame:
@@ -74,15 +107,53 @@ def summary(log: DataFrame) -> DataFrame:
 def loss_trend(rows: DataFrame, key: str, order: str, value: str, decay: float = 0.95, patience: int = 20, min_delta: float = 5e-4) -> DataFrame:
     """(key, steps, ema, best, stale, stopped): the smoothed last loss of each series, its best value, the steps since, and whether patience ran out.
 
-    A sequential fold over each series in order; a series is gathered into one row.
+    The rows are ordered by range, so a long series lies in several partitions; each hands on one summary of what
+    it does to a state that comes in, and the few summaries of a series are put together.
     """
-    series = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("loss")))), lambda x: x["loss"]).alias("losses"))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own, last = TaskContext.get().partitionId(), [], None
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own and k != last:
+                    yield summary_of(last, part, own)
+                    own = []
+                last = k
+                own.append(x)
+        if own:
+            yield summary_of(last, part, own)
+
+    def summary_of(k: object, part: int, losses: list[float | None]) -> pa.RecordBatch:
+        known = np.array([np.nan if x is None else x for x in losses])
+        n = len(known)
+        gained = None if None in losses else float((1 - decay) * (decay ** np.arange(n - 1, -1, -1) * known).sum())
+        # Only a new minimum can become the best, whatever the best so far; from there on the rest is settled.
+        lowest = np.minimum.accumulate(np.concatenate([[np.inf], np.where(np.isnan(known), np.inf, known)]))
+        at = np.flatnonzero(lowest[1:] < lowest[:-1])
+        records: list[dict] = [{}] * len(at)
+        for r in range(len(at) - 1, -1, -1):
+            i, x = int(at[r]), float(known[at[r]])
+            later = int(np.searchsorted(-known[at], -(x - min_delta), "right"))
+            if later < len(at):
+                records[r] = records[later] | {"at": i, "loss": x, "stopped": records[later]["stopped"] or int(at[later]) - 1 - i >= patience}
+            else:
+                records[r] = {"at": i, "loss": x, "best": x, "stale": n - 1 - i, "stopped": n - 1 - i >= patience}
+        return pa.RecordBatch.from_arrays([pa.array([k], key_kind), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([gained], pa.float64()), pa.array([records], record_kind)], [key, "part", "n", "gained", "records"])
+
+    ordered = rows.select(F.col(key), F.col(order).alias("at"), F.col(value).cast("double").alias("loss")).repartitionByRange(key, "at").sortWithinPartitions(key, "at", "loss").select(key, "loss")
+    key_kind = to_arrow_schema(ordered.select(key).schema).field(0).type
+    record_kind = pa.list_(pa.struct([("at", pa.int32()), ("loss", pa.float64()), ("best", pa.float64()), ("stale", pa.int32()), ("stopped", pa.bool_())]))
+    records = "array<struct<at:int,loss:double,best:double,stale:int,stopped:boolean>>"
+    parts = ordered.mapInArrow(summarise, f"`{key}` {ordered.schema[key].dataType.simpleString()}, part int, n int, gained double, records {records}")
+    series = parts.groupBy(key).agg(F.sum("n").cast("int").alias("steps"), F.array_sort(F.collect_list(F.struct("part", "n", "gained", "records"))).alias("parts"))
     start = F.struct(F.lit(0.0).alias("ema"), F.lit(float("inf")).alias("best"), F.lit(0).alias("stale"), F.lit(False).alias("stopped"))
 
-    def step(s: Column, loss: Column) -> Column:
-        ema = F.lit(decay) * s["ema"] + F.lit(1 - decay) * loss
-        better = loss < s["best"] - min_delta
-        stale = F.when(better, 0).otherwise(s["stale"] + 1)
-        return F.struct(ema.alias("ema"), F.when(better, loss).otherwise(s["best"]).alias("best"), stale.alias("stale"), (s["stopped"] | (stale >= patience)).alias("stopped"))
+    def step(s: Column, p: Column) -> Column:
+        found = F.get(F.filter(p["records"], lambda r: r["loss"] < s["best"] - min_delta), F.lit(0))
+        waited = s["stale"] + F.coalesce(found["at"], p["n"])
+        return F.struct(
+            (F.pow(F.lit(decay), p["n"]) * s["ema"] + p["gained"]).alias("ema"), F.coalesce(found["best"], s["best"]).alias("best"),
+            F.coalesce(found["stale"], waited).alias("stale"), (s["stopped"] | (waited >= patience) | F.coalesce(found["stopped"], F.lit(False))).alias("stopped"),
+        )
 
-    return series.select(key, F.size("losses").alias("steps"), F.aggregate("losses", start, step).alias("state")).select(key, "steps", "state.*")
+    return series.select(key, "steps", F.aggregate("parts", start, step).alias("state")).select(key, "steps", "state.*")

@@ -161,6 +161,43 @@ def test_loss_trend(spark):
     assert r["ema"] == pytest.approx(ema) and r["best"] == 0.5 and r["stopped"]
 
 
+def test_logs_and_long_series_need_no_single_task(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [rng.random() for _ in range(3000)]
+    rows = log(spark, [("d", str(v), rng.choice(["keep", "discard"])) for v in values]).repartition(7)
+    got = tracker.decisions(rows).orderBy("seq").collect()
+    assert [r["best_before"] for r in got] == [max(values[:i], default=0.0) for i in range(3000)]
+    kept = [float(r["val_metric"]) for r in rows.where("status = 'keep'").orderBy("seq").collect()]
+    assert [r["best_so_far"] for r in tracker.running_best(rows).orderBy("seq").collect()] == [max(kept[: i + 1]) for i in range(len(kept))]
+    assert [r["delta"] for r in tracker.improvements(rows).orderBy("seq").collect()] == [b - a for a, b in zip(kept, kept[1:])]
+    for f in (tracker.decisions, tracker.running_best, tracker.improvements):
+        plan = f(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert all("block#" in line for line in plan.splitlines() if "Window [" in line), plan
+    df = spark.createDataFrame([(k, i, v + (2 - i / 2000 if k == "a" else 1)) for k in ("a", "b") for i, v in enumerate(values)] + [("c", 0, 1.0)], "k string, i int, v double")
+    plan = tracker.loss_trend(df, "k", "i", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(at" not in plan and "RepartitionByExpression" in plan
+    for patience in (20, 700, 5000):
+        found = {r["k"]: r for r in tracker.loss_trend(df, "k", "i", "v", patience=patience).collect()}
+        for k, own in {"a": [v + (2 - i / 2000) for i, v in enumerate(values)], "b": [v + 1 for v in values], "c": [1.0]}.items():
+            ema, best, stale, stopped = 0.0, float("inf"), 0, False
+            for x in own:
+                ema, stale = 0.95 * ema + 0.05 * x, 0 if x < best - 5e-4 else stale + 1
+                best, stopped = x if stale == 0 else best, stopped or stale >= patience
+            r = found[k]
+            assert (r["steps"], r["best"], r["stale"], r["stopped"]) == (len(own), best, stale, stopped) and r["ema"] == pytest.approx(ema)
+
+
+def test_dataset_summary_takes_distinct_names_before_gathering(spark):
+    theme = lambda t, e: (t, "positive", 0.5, 1.0, e, "positive", 1.0, ["x"])
+    a = ("positive", 0.9, [theme("Price", "joy"), theme("Staff", "joy")], [], [("Team", "desk", "neutral", 0.1)])
+    df = spark.createDataFrame([("train", a), ("train", a), ("val", ("positive", 0.9, [], [], []))], f"split string, analysis {normalize.ANALYSIS}")
+    out = targets.dataset_summary(df)
+    assert sorted(tuple(r) for r in out.collect()) == [("train", 2, ["Price", "Staff"], ["joy"], ["Team"]), ("val", 1, [], [], [])]
+    assert "flatten" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_targets(spark):
     df = spark.createDataFrame([(["b", " a "],), (["c"],), ([],)], "l array<string>")
     assert targets.vocabulary(df, "l", ["z"]).first()[0] == ["a", "b", "c", "z"]
