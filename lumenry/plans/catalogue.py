@@ -459,8 +459,8 @@ def lexicon_predict(spark, sf_dir):
 @query("""SELECT row_id, list_transform((SELECT list(DISTINCT lower(trim(emotion)) ORDER BY lower(trim(emotion))) FROM theme_annotation WHERE emotion IN (SELECT label_name FROM canonical_label)), lambda v: list_contains(e, v)::INT)::VARCHAR AS hot FROM (
     SELECT row_id, list(DISTINCT lower(trim(emotion))) AS e FROM theme_annotation WHERE emotion IN (SELECT label_name FROM canonical_label) GROUP BY row_id)""")
 def vocabulary_multi_hot(spark, sf_dir):
-    known = table(spark, sf_dir, "canonical_label").select(F.col("label_name").alias("emotion")).distinct()
-    rows = table(spark, sf_dir, "theme_annotation").join(known, "emotion", "left_semi").groupBy("row_id").agg(F.collect_set(fn.key_text(F.col("emotion"))).alias("emotions"))
+    emotion = F.when(~fn.is_missing(F.col("emotion")), fn.key_text(F.col("emotion")))
+    rows = table(spark, sf_dir, "theme_annotation").groupBy("row_id").agg(F.collect_set(emotion).alias("emotions"))
     return targets.with_multi_hot(rows, "emotions").select("row_id", F.concat(F.lit("["), F.concat_ws(", ", F.transform("hot", lambda x: x.cast("string"))), F.lit("]")).alias("hot"))
 
 
