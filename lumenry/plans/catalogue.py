@@ -524,7 +524,7 @@ def set_operations(spark, sf_dir):
     t = table(spark, sf_dir, "theme_annotation")
     a, b = t.select(fn.key_text(F.col("theme")).alias("label")), t.select(fn.key_text(F.col("emotion")).alias("label"))
     named = lambda df, name: df.select(F.lit(name).alias("domain"), "label")
-    return named(a.union(b).distinct(), "union").unionByName(named(a.intersect(b), "both")).unionByName(named(a.subtract(b), "theme only")).where(F.col("label").rlike("^[a-z ]+$"))
+    return named(a.union(b).distinct(), "union").unionByName(named(a.intersect(b), "both")).unionByName(named(a.subtract(b), "theme only")).where("label <> ''")
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -12,3 +12,11 @@ def test_vocabulary_holds_all_emotions_and_every_row(spark, tmp_path):
     d = written(spark, tmp_path, theme_annotation=(rows, "row_id bigint, emotion string"), canonical_label=([("joy",)], "label_name string"))
     got = {r["row_id"]: r["hot"] for r in catalogue.vocabulary_multi_hot(spark, d).collect()}
     assert got == {1: "[1, 1]", 2: "[1, 0]", 3: "[0, 0]", 4: "[0, 0]"}
+
+
+def test_set_operations_keep_labels_of_any_signs(spark, tmp_path):
+    rows = [("Follow-up 2", "joy"), ("配送", "配送"), ("n/a.", " "), ("Café", None)]
+    d = written(spark, tmp_path, theme_annotation=(rows, "theme string, emotion string"))
+    got = {tuple(r) for r in catalogue.set_operations(spark, d).collect()}
+    only = {"follow-up 2", "n/a.", "café"}
+    assert got == {("union", x) for x in only | {"配送", "joy"}} | {("both", "配送")} | {("theme only", x) for x in only}
