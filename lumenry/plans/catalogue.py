@@ -293,11 +293,16 @@ def assembled_predictions(spark, sf_dir):
 
 
 def _theme_sets(spark, sf_dir) -> DataFrame:
-    """(row_id, gold, predicted): themes typed by annotators, against those of the record's payload."""
-    gold = table(spark, sf_dir, "theme_annotation").where(~fn.is_missing(F.col("theme"))).groupBy("row_id").agg(F.collect_set(fn.key_text(F.col("theme"))).alias("gold"))
-    emotion = table(spark, sf_dir, "theme_annotation").where(~fn.is_missing(F.col("emotion"))).groupBy("row_id").agg(F.collect_set(fn.key_text(F.col("emotion"))).alias("predicted"))
-    none = F.array().cast("array<string>")
-    return gold.join(emotion, "row_id", "full").select("row_id", F.coalesce("gold", none).alias("gold"), F.coalesce("predicted", none).alias("predicted"))
+    """(gold, predicted): themes of valid gold analyses against those of the last predictions; an invalid prediction has none."""
+    themes = lambda c: F.coalesce(F.transform(F.col(c)["main_themes"], lambda t: fn.key_text(t["theme"])), F.array().cast("array<string>")).alias(c)
+    return _analysis_pairs(spark, sf_dir).select(themes("gold"), themes("predicted"))
+
+
+def _entity_sets(spark, sf_dir) -> DataFrame:
+    """(gold, predicted): where the entities of both sides stand in the text."""
+    kind = "array<struct<start:int,end:int,name:string,type:string>>"
+    entities = lambda c: F.coalesce(metrics.entity_keys(F.col("text"), F.col(c)["metadata"], False), F.array().cast(kind)).alias(c)
+    return _analysis_pairs(spark, sf_dir).select(entities("gold"), entities("predicted"))
 
 
 _SETS = """SELECT row_id, coalesce(g, []) AS g, coalesce(p, []) AS p, len(list_intersect(coalesce(g, []), coalesce(p, []))) AS hit FROM
@@ -312,7 +317,7 @@ def set_f1(spark, sf_dir):
 
 @query(f"SELECT round(coalesce(sum(hit) / nullif(sum(len(p)), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(sum(hit) / nullif(sum(len(g)), 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0::DOUBLE * sum(hit) / nullif(sum(len(p)) + sum(len(g)), 0), 0), 6) AS f1 FROM ({_SETS})")
 def span_prf(spark, sf_dir):
-    return metrics.micro_prf(_theme_sets(spark, sf_dir), "gold", "predicted").select(_r(F.col("precision"), "precision"), _r(F.col("recall"), "recall"), _r(F.col("f1"), "f1"))
+    return metrics.micro_prf(_entity_sets(spark, sf_dir), "gold", "predicted").select(_r(F.col("precision"), "precision"), _r(F.col("recall"), "recall"), _r(F.col("f1"), "f1"))
 
 
 def _sentence_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -353,9 +358,10 @@ def bio_encode(spark, sf_dir):
 
 @query()
 def token_f1(spark, sf_dir):
-    rows = _metadata_spans(spark, sf_dir)
-    half = rows.withColumns({"gold": spans.token_labels(F.col("tokens"), F.col("labels")), "predicted": spans.token_labels(F.col("tokens"), F.slice("labels", 1, 1))})
-    return metrics.token_f1(half, "gold", "predicted").select(_r(F.col("token_f1"), "token_f1"))
+    names = lambda c: F.coalesce(F.transform(F.col(c)["metadata"], lambda m: F.struct(m["metadata_name"].alias("name"), F.coalesce(fn.key_text(m["metadata_type"]), F.lit("")).alias("type"))), F.array().cast("array<struct<name:string,type:string>>"))
+    rows = _analysis_pairs(spark, sf_dir).select("text", fn.spaced_tokens(F.col("text")).alias("tokens"), *[F.array_sort(spans.located(F.col("text"), names(c))).alias(c) for c in ("gold", "predicted")])
+    labels = rows.select(*[spans.token_labels(F.col("tokens"), F.col(c)).alias(c) for c in ("gold", "predicted")])
+    return metrics.token_f1(labels, "gold", "predicted").select(_r(F.col("token_f1"), "token_f1"))
 
 
 _RUNS = """SELECT user_id, event_type, conf, grp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM (SELECT *, value / 100.0::DOUBLE AS conf, event_id AS grp FROM events)"""

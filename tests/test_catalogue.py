@@ -1,3 +1,4 @@
+from lumenry.operators import normalize
 from lumenry.plans import catalogue
 
 
@@ -20,3 +21,17 @@ def test_set_operations_keep_labels_of_any_signs(spark, tmp_path):
     got = {tuple(r) for r in catalogue.set_operations(spark, d).collect()}
     only = {"follow-up 2", "n/a.", "café"}
     assert got == {("union", x) for x in only | {"配送", "joy"}} | {("both", "配送")} | {("theme only", x) for x in only}
+
+
+def test_scores_compare_gold_analyses_with_predictions(spark, monkeypatch):
+    theme = lambda t: (t, "positive", 0.5, 1.0, "joy", "positive", 1.0, ["x"])
+    entity = lambda kind, name: (kind, name, "neutral", 0.1)
+    gold = ("positive", 0.9, [theme("Price"), theme("Staff")], [], [entity("Team", "desk"), entity("Place", "Dunford")])
+    part = ("positive", 0.9, [theme(" price ")], [], [entity("Team", "desk"), entity("Team", "slow")])
+    rows = [("e", "1", "The desk in Dunford was slow", gold, part), ("e", "2", "The desk in Dunford", gold, None)]
+    pairs = spark.createDataFrame(rows, f"experiment_id string, id string, text string, gold {normalize.ANALYSIS}, predicted {normalize.ANALYSIS}")
+    monkeypatch.setattr(catalogue, "_analysis_pairs", lambda spark, d: pairs)
+    assert catalogue.set_f1(spark, "").first()[0] == round((2 / 3 + 0) / 2, 6)
+    assert tuple(catalogue.span_prf(spark, "").first()) == (0.5, 0.25, round(2 / 6, 6))
+    # tokens: one of four gold labels is met, one label is too many
+    assert catalogue.token_f1(spark, "").first()[0] == round(2 / (2 + 1 + 3), 6)
