@@ -277,7 +277,7 @@ def score_analyses(spark, sf_dir):
     SELECT key, is_valid_json FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, prediction_id DESC) AS rn FROM ({_KEYED}) WHERE key IS NOT NULL) WHERE rn = 1) p USING (key) GROUP BY split""")
 def alignment_by_split(spark, sf_dir):
     refs = align.keyed(table(spark, sf_dir, "survey"), "example_id").select("row_id", "key").where("key is not null").join(survey_splits(spark, sf_dir).select("row_id", "split"), "row_id")
-    refs = refs.groupBy("key").agg(F.max("split").alias("split"), F.count_distinct("split").alias("n")).where("n = 1").drop("n")
+    refs = refs.where("split is not null").select("split", "key").distinct()
     last = align.last_by_key(_predictions(spark, sf_dir), ["key"], [F.col("written_at"), F.col("prediction_id")]).select("key", "is_valid_json")
     return align.reference_counts(align.aligned(refs, last), ["split"])
 

@@ -35,3 +35,11 @@ def test_scores_compare_gold_analyses_with_predictions(spark, monkeypatch):
     assert tuple(catalogue.span_prf(spark, "").first()) == (0.5, 0.25, round(2 / 6, 6))
     # tokens: one of four gold labels is met, one label is too many
     assert catalogue.token_f1(spark, "").first()[0] == round(2 / (2 + 1 + 3), 6)
+
+
+def test_alignment_counts_a_key_in_each_of_its_splits(spark, tmp_path):
+    survey = [(1, "a", "train"), (2, " a", "val"), (3, "a", "val"), (4, "b", "val")]
+    prediction = [("a", True, 1, 1)]
+    d = written(spark, tmp_path, survey=(survey, "row_id bigint, example_id string, split string"), prediction=(prediction, "example_id string, is_valid_json boolean, written_at int, prediction_id int"))
+    got = {r["split"]: (r["examples"], r["matched"], r["missing"], r["invalid"]) for r in catalogue.alignment_by_split(spark, d).collect()}
+    assert got == {"train": (1, 1, 0, 0), "val": (2, 1, 1, 1)}
