@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -13,7 +13,7 @@ from .encoding import encode, token_counts
 from .garbled import repaired, train
 from .languages import label_code, label_stretches, mislabelled
 from .languages import train as train_languages
-from .overlap import overlaps, split_of
+from .overlap import CONTAINED, class_overlaps, members, overlaps, report, split_of
 from .packing import fill, pack_documents
 from .personal import personal_data
 from .sentences import sentence_units, survey_and_sentences
@@ -62,12 +62,34 @@ def p4_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_survey(spark, sf_dir).select("origin", "item_id", "phrase_no", "plain")
 
 
+def _split() -> Column:
+    return split_of(F.col("split"), F.col("example_id"), F.col("row_id"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    survey = table(spark, sf_dir, "survey")
-    found = overlaps(survey, "row_id", "raw_text", split_of(F.col("split"), F.col("example_id"), F.col("row_id")))
+    found = overlaps(table(spark, sf_dir, "survey"), "row_id", "raw_text", _split())
     return found.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
 
 
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    survey = table(spark, sf_dir, "survey")
+    records = survey.select(F.col("row_id").alias("id"), _split().alias("split"), "source").where("split <> 'train'")
+    return report(overlaps(survey, "row_id", "raw_text", _split()), records)
+
+
+def p5_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    survey = table(spark, sf_dir, "survey")
+    return class_overlaps(survey, "row_id", "raw_text", members(survey, "row_id", "raw_text", _split()))
+
+
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return members(table(spark, sf_dir, "survey"), "row_id", "raw_text", _split())
+
+
+def p5_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "survey"), "row_id", "raw_text", _split(), of_eval=CONTAINED, of_train=0.0)
+
+
 def _survey_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "survey").select("row_id", F.col("raw_text").alias("text"), label_code(F.col("language")).alias("label"))
     sentences = train_sentences(rows)
@@ -116,7 +138,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p5_report": p5_report, "p5_class_pairs": p5_class_pairs, "p5_members": p5_members, "p5_contained": p5_contained, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
