@@ -3,7 +3,9 @@
 Each task pre-splits its texts into words, cuts words where no vocabulary entry spans two characters, and
 keeps a dictionary of the pieces met so far. New pieces go to DuckDB as token-position rows; a recursive
 query joins adjacent tokens with the merge table and contracts each piece's leftmost pair of minimum rank
-until none is left; an ordered aggregation reads the ids off. Nothing is shuffled and no text is cut short.
+until none is left; an ordered aggregation reads the ids off. A long piece is contracted in parts, which are
+joined by contracting what lies around each seam: token sequences in which every two neighbours stay apart
+when contracted by themselves are the whole piece's. Nothing is shuffled and no text is cut short.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ FOLDER = os.environ.get("LUMENRY_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 #: Texts encoded together, in characters: bounds a task's memory, not what it encodes.
 CHUNK = 4_000_000
-#: Pieces remembered by a task before its dictionary starts anew.
-REMEMBERED = 2_000_000
+#: Pieces, and ids of pieces, remembered by a task before its dictionary starts anew.
+REMEMBERED, REMEMBERED_IDS = 2_000_000, 30_000_000
+#: Bytes of a part of a long piece, and rows that a recursive query may make: they bound memory, not what is encoded.
+PART, ROWS = 32, 6_000_000
+#: Tokens on either side of a seam that are contracted again, at first.
+SEAM = 1
 
 # Fixed value: the vocabulary's published pre-splitting pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,11 +77,12 @@ class Encoder:
         if any(vocabulary[a + b] != 256 + rank for rank, (a, b) in enumerate(pairs)):
             raise ValueError("the ids of merged tokens must follow the ranks of their merges")
         self.byte_ids = np.array([vocabulary[s] for s in signs], np.int32)
+        self.bytes_of = {i: bytes(byte_of[s] for s in token) for token, i in vocabulary.items() if all(s in byte_of for s in token)}
         self.words = regex.compile(WORDS)
-        self.spanning = self._spans(bytes(byte_of[s] for s in token) for token in vocabulary if all(s in byte_of for s in token))
+        self.spanning = self._spans(self.bytes_of.values())
         self.cuts: dict[str, bool] = {}
         self._forget()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array([(vocabulary[a] << 20) + vocabulary[b] for a, b in pairs], pa.int64()), "rank": pa.array(range(len(pairs)), pa.int64())})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -138,11 +145,30 @@ class Encoder:
         found.append(word[begin:])
         return found
 
-    def contract(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of each piece."""
-        if not pieces:
-            return []
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    def contract(self, pieces: list[bytes], longest: float = PART) -> list[np.ndarray]:
+        """The ids of each piece; those of more than `longest` bytes are contracted in parts."""
+        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+        batch, rows = [], 0
+        for i in sorted((i for i, p in enumerate(pieces) if len(p) <= longest), key=lambda i: len(pieces[i])):
+            # A piece makes a row for each of its bytes in each round, of which there are as many at most.
+            if batch and rows + len(pieces[i]) ** 2 > ROWS:
+                self._contract_into(found, batch, pieces)
+                batch, rows = [], 0
+            batch.append(i)
+            rows += len(pieces[i]) ** 2
+        self._contract_into(found, batch, pieces)
+        long = [i for i, p in enumerate(pieces) if len(p) > longest]
+        if long:
+            parts = [[p[k : k + PART] for k in range(0, len(p), PART)] for p in (pieces[i] for i in long)]
+            flat = iter(self.contract([x for own in parts for x in own]))
+            for i, ids in zip(long, self._joined_parts([[next(flat) for _ in own] for own in parts])):
+                found[i] = ids
+        return found
+
+    def _contract_into(self, found: list[np.ndarray], batch: list[int], pieces: list[bytes]) -> None:
+        if not batch:
+            return
+        raw = [pieces[i] for i in batch]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         starts = np.cumsum(lengths) - lengths
         symbols = pa.table({
@@ -151,20 +177,45 @@ class Encoder:
             "tok": pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]),
         })
         self.db.register("symbols", symbols)
-        lists = self.db.execute(_CONTRACT).to_arrow_table().column("ids").combine_chunks()
+        lists = self.db.sql(_CONTRACT).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("symbols")
         values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        for i, a, b in zip(batch, offsets[:-1], offsets[1:]):
+            found[i] = values[a:b]
+
+    def _text(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes_of[int(i)] for i in ids)
+
+    def _joined_parts(self, pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """The ids of pieces given as those of their parts: neighbouring parts are joined, then neighbours of these, and so on."""
+        while any(len(own) > 1 for own in pieces):
+            seams = [(n, k) for n, own in enumerate(pieces) for k in range(0, len(own) - 1, 2)]
+            joined: dict[tuple[int, int], np.ndarray] = {}
+            width = SEAM
+            while seams:
+                sides = [(pieces[n][k][-width:], pieces[n][k + 1][:width]) for n, k in seams]
+                again = self.contract([self._text(a) + self._text(b) for a, b in sides], np.inf)
+                left = []
+                for (n, k), (a, b), ids in zip(seams, sides, again):
+                    before, after = pieces[n][k], pieces[n][k + 1]
+                    # The outermost tokens must come out as they were, or be the part's own ends.
+                    if (len(a) == len(before) or ids[0] == a[0]) and (len(b) == len(after) or ids[-1] == b[-1]):
+                        joined[n, k] = np.concatenate([before[: len(before) - len(a)], ids, after[len(b) :]])
+                    else:
+                        left.append((n, k))
+                seams, width = left, 4 * width
+            pieces = [[joined[n, k] if (n, k) in joined else own[k] for k in range(0, len(own), 2)] for n, own in enumerate(pieces)]
+        return [own[0] for own in pieces]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each text's ids."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
             self._forget()
         split = [self.words.findall(t) for t in texts]
         fresh = set(itertools.chain.from_iterable(split)).difference(self.number)
         cut = {w: self.pieces(w) for w in fresh}
         unmerged = list({p for parts in cut.values() for p in parts}.difference(self.number))
-        self._remember(unmerged, self.contract(unmerged))
+        self._remember(unmerged, self.contract([p.encode("utf-8", "surrogatepass") for p in unmerged]))
         rest = [w for w, parts in cut.items() if len(parts) > 1]
         self._remember(rest, [self._read(np.array([self.number[p] for p in cut[w]])) for w in rest])
         words = np.fromiter(map(len, split), np.int64, len(split))
@@ -222,3 +273,19 @@ def token_counts(df: DataFrame, id_column: str, text_column: str, folder: str =
 
     rows = df.select(id_column, text_column)
     return rows.mapInArrow(run, f"`{id_column}` {rows.schema[id_column].dataType.simpleString()}, tokens bigint")
+
+
+def decode(df: DataFrame, id_column: str, ids_column: str, folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
+    """(id, text): the text of each list of token ids; bytes that are no UTF-8 come out as U+FFFD.
+
+    A null list, and one with an id that the vocabulary doesn't have, gives null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(folder, name).bytes_of
+        for batch in batches:
+            texts = [None if ids is None or not all(i in known for i in ids) else b"".join(map(known.__getitem__, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])
+
+    rows = df.select(id_column, ids_column)
+    return rows.mapInArrow(run, f"`{id_column}` {rows.schema[id_column].dataType.simpleString()}, text string")

@@ -9,7 +9,7 @@ from ..sources.tables import table
 from .alike import count_signs, plain_forms, survey_texts
 from .canonical import map_items, map_values, typed_values
 from .copies import survey_copies
-from .encoding import encode, token_counts
+from .encoding import decode, encode, token_counts
 from .garbled import repaired, train
 from .languages import label_code, label_stretches, mislabelled
 from .languages import train as train_languages
@@ -20,6 +20,10 @@ from .sentences import sentence_units, survey_and_sentences
 from .sentences import train as train_sentences
 
 
+# SQL of the queries that it can express on whole tables.
+SQL = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "canonical_label")
     items = typed_values(table(spark, sf_dir, "theme_annotation"), table(spark, sf_dir, "metadata_entity"))
@@ -118,6 +122,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode(encode(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "ids")
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
     return pack_documents(counts, table(spark, sf_dir, "container_spec"))
@@ -138,8 +146,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p5_report": p5_report, "p5_class_pairs": p5_class_pairs, "p5_members": p5_members, "p5_contained": p5_contained, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p5_report": p5_report, "p5_class_pairs": p5_class_pairs, "p5_members": p5_members, "p5_contained": p5_contained, "p6_found": p6_found, "p6_stretches": p6_stretches, "p7_found": p7_found, "p7_copy_counts": p7_copy_counts, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -323,3 +323,18 @@ def test_margin_is_validated_on_all_held_out_records_which_are_then_counted(spar
     assert model.points.sum() == sum(len(t) + 1 for t in ("x " * 600 + clean[0], "x " * 600 + clean[1])) * 10000
     errors, cases = garbled.errors_by_margin(["x " * 600 + t for t in clean] * 200 + ["plain", None], model)
     assert cases == 800 and errors[garbled.MARGINS.index(model.margin)] == min(errors) == 0
+
+
+@needs_vocabulary
+def test_long_words_are_encoded_as_wholes_and_decoded(spark):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(os.path.join(encoding.FOLDER, f"{encoding.VOCABULARY}.json"))
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8000)), "".join(rng.choice(["the", "delivery", "tion", "inter", "national", "e"]) for _ in range(3000)), "a" * 20000, "." * 3000 + "=" * 3000, "пример" * 2000, "0123456789" * 900]
+    df = spark.createDataFrame([*enumerate(words), (90, None), (91, "")], "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
+    made = encoding.encode(df, "doc_id", "text")
+    assert {r["doc_id"]: r["ids"] for r in made.collect()} == {i: tool.encode(w, add_special_tokens=False).ids for i, w in enumerate(words)} | {90: [], 91: []}
+    assert {r["doc_id"]: r["text"] for r in encoding.decode(made, "doc_id", "ids").collect()} == dict(enumerate(words)) | {90: "", 91: ""}
+    odd = spark.createDataFrame([(1, None), (2, [10**9]), (3, [])], "doc_id bigint, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in encoding.decode(odd, "doc_id", "ids").collect()} == {1: None, 2: None, 3: ""}
