@@ -35,21 +35,25 @@ SEAM = 1
 # Fixed value: the vocabulary's published pre-splitting pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CONTRACT = """
-WITH RECURSIVE step(piece, round, pos, tok) AS (
-    SELECT piece, 0, pos, tok FROM symbols
-    UNION ALL
-    SELECT piece, round + 1, pos, CASE WHEN key = best THEN (best >> 20)::INTEGER + 256 ELSE tok END
+# One round: all places of the piece's pair of minimum rank are contracted, from the left and without overlaps. A pair
+# that this makes has a higher rank, so it is as if they were contracted one by one.
+_ROUND = """
+    SELECT piece, round + 1 AS round, pos, (CASE WHEN taken THEN best + 256 ELSE tok END)::INTEGER AS tok
     FROM (
-        SELECT *, min(key) OVER (PARTITION BY piece) AS best, lag(key) OVER (PARTITION BY piece ORDER BY pos) AS key_before
+        SELECT *, coalesce(lag(taken) OVER (PARTITION BY piece ORDER BY pos), false) AS joined
         FROM (
-            SELECT p.piece, p.round, p.pos, p.tok, (m.rank << 20) + p.pos AS key
-            FROM (SELECT piece, round, pos, tok, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS following FROM step) p
-            LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 20) + p.following
+            SELECT *, rank IS NOT DISTINCT FROM best AND (place - coalesce(max(CASE WHEN rank IS DISTINCT FROM best THEN place END) OVER (PARTITION BY piece ORDER BY pos), 0)) % 2 = 1 AS taken
+            FROM (
+                SELECT p.piece, p.round, p.pos, p.tok, m.rank, min(m.rank) OVER (PARTITION BY p.piece) AS best, row_number() OVER (PARTITION BY p.piece ORDER BY p.pos) AS place
+                FROM (SELECT piece, round, pos, tok, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS following FROM step) p
+                LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 20) + p.following
+            )
         )
     )
-    WHERE best IS NOT NULL AND key_before IS DISTINCT FROM best
-)
+    WHERE best IS NOT NULL AND NOT joined
+"""
+_CONTRACT = f"""
+WITH RECURSIVE step(piece, round, pos, tok) AS (SELECT piece, 0, pos, tok FROM symbols UNION ALL {_ROUND})
 SELECT piece, list(tok ORDER BY pos) AS ids
 FROM (SELECT piece, pos, tok, round, max(round) OVER (PARTITION BY piece) AS last FROM step)
 WHERE round = last GROUP BY piece ORDER BY piece
@@ -177,12 +181,23 @@ class Encoder:
             "tok": pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]),
         })
         self.db.register("symbols", symbols)
+        if len(raw) == 1 and len(raw[0]) ** 2 > ROWS:
+            return self._contract_by_rounds(found, batch[0])
         lists = self.db.sql(_CONTRACT).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("symbols")
         values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         for i, a, b in zip(batch, offsets[:-1], offsets[1:]):
             found[i] = values[a:b]
 
+    def _contract_by_rounds(self, found: list[np.ndarray], piece: int) -> None:
+        """The same where a recursive query would keep too many rounds: only the last one is kept."""
+        self.db.execute("CREATE OR REPLACE TABLE step AS SELECT piece, 0 AS round, pos, tok FROM symbols")
+        while self.db.execute(f"CREATE OR REPLACE TABLE following AS {_ROUND}").fetchone()[0]:
+            self.db.execute("DROP TABLE step; ALTER TABLE following RENAME TO step")
+        found[piece] = self.db.sql("SELECT tok FROM step ORDER BY pos").fetchnumpy()["tok"].astype(np.int32)
+        self.db.execute("DROP TABLE step; DROP TABLE following")
+        self.db.unregister("symbols")
+
     def _text(self, ids: np.ndarray) -> bytes:
         return b"".join(self.bytes_of[int(i)] for i in ids)
 
