@@ -3,7 +3,8 @@
 Look-alike classes are the connected components, by union-find, of code points and short strings that
 Unicode or a table of look-alike letters relates. The most frequent member in the corpus represents a class,
 within each script, so that every script keeps its own words. A multi-pattern automaton finds all other
-members in a text and they are rewritten greedily, longest first.
+members in a text and they are rewritten greedily, longest first. Then letters with any number of marks, voiced
+kana and conjoining Hangul are composed, as far as Unicode has one character for them.
 """
 
 from __future__ import annotations
@@ -89,6 +90,11 @@ def _form(c: str) -> str:
     return unicodedata.normalize("NFKC", c) if any(a <= ord(c) <= b for a, b in FORMS) else c
 
 
+def _is_composed(sign: str, composed: str) -> bool:
+    """Whether the second is one character for the first, which is several or stands for the same as the second."""
+    return len(composed) < len(sign) or (len(composed) == len(sign) == 1 and composed != sign)
+
+
 def look_alikes(signs: dict[str, int]) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
     """Rewrites that hold everywhere, and of letters the representative in each script.
 
@@ -99,7 +105,7 @@ def look_alikes(signs: dict[str, int]) -> tuple[dict[str, str], dict[str, dict[s
         if len(sign) == 1:
             classes.union(sign, _form(sign))
         composed = unicodedata.normalize("NFC", sign)
-        if len(composed) < len(sign):
+        if _is_composed(sign, composed):
             classes.union(sign, composed)
     for table in (CYRILLIC, GREEK):
         for a, b in table.items():
@@ -125,7 +131,7 @@ def look_alikes(signs: dict[str, int]) -> tuple[dict[str, str], dict[str, dict[s
                 by_script[s] = {k: v for k, v in plain.items() if k}
     for sign in signs:  # strings that only compose, without any class of their own
         composed = unicodedata.normalize("NFC", sign)
-        if len(composed) < len(sign):
+        if _is_composed(sign, composed):
             everywhere[sign] = everywhere.get(composed, composed)
     return everywhere, by_script
 
@@ -154,6 +160,7 @@ class Rewriter:
         self.foreign = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
         self.latin = regex.compile(r"\p{Latin}")
         self.by_script = by_script
+        self.parts = regex.compile(r"[^\p{M}]?\p{M}+|[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]")
 
     def _keeps(self, text: str, start: int, s: str) -> bool:
         """Whether a sign is plain where it stands."""
@@ -222,8 +229,19 @@ class Rewriter:
             return max(scripts, key=lambda s: sum(script(c) == s for c in word), default="")
         return can[0] if len(can) == 1 else "?"
 
+    def composed(self, text: str) -> str:
+        """Composes what Unicode has one character for. Nothing is taken apart, and marks that stay keep their order."""
+        if unicodedata.is_normalized("NFC", text):
+            return text
+
+        def one(m) -> str:
+            whole = unicodedata.normalize("NFC", m[0])
+            return whole if len(whole) < len(m[0]) else m[0]
+
+        return self.parts.sub(one, text)
+
     def plain(self, text: str) -> str:
-        return text if text.isascii() else self.words(self.signs(text))
+        return text if text.isascii() else self.composed(self.words(self.composed(self.signs(text))))
 
 
 def plain_forms(df: DataFrame, keys: list[str], signs: DataFrame) -> DataFrame:
