@@ -338,3 +338,18 @@ def test_long_words_are_encoded_as_wholes_and_decoded(spark):
     assert {r["doc_id"]: r["text"] for r in encoding.decode(made, "doc_id", "ids").collect()} == dict(enumerate(words)) | {90: "", 91: ""}
     odd = spark.createDataFrame([(1, None), (2, [10**9]), (3, [])], "doc_id bigint, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in encoding.decode(odd, "doc_id", "ids").collect()} == {1: None, 2: None, 3: ""}
+
+
+def test_buckets_of_ranks_cut_slots_and_lose_none():
+    slots, _ = packing.plan({7: 1000, 3: 400, 50: 4, 20: 77, 11: 130}, 50)
+    cut, width = packing.bucketed(slots)
+    whole = sorted((length, rank + i, container + i) for length, rank, items, container in slots for i in range(items))
+    assert sorted((length, rank + i, container + i) for length, _, rank, items, container in cut for i in range(items)) == whole
+    assert all(rank // width[length] == bucket == (rank + items - 1) // width[length] for length, bucket, rank, items, _ in cut)
+
+
+def test_fill_is_reported_against_the_least_number_of_containers(spark):
+    items = spark.createDataFrame([(i, s) for i, s in enumerate([60, 40, 50, 50, 30, 250, 0])], "doc_id bigint, tokens bigint")
+    specs = spark.createDataFrame([(1, "a", 100)], "spec_id bigint, spec_name string, capacity_tokens bigint")
+    r = packing.fill(packing.pack_documents(items, specs), specs).first()
+    assert (r["containers"], r["tokens"], r["least"], r["fullest"], r["filled"]) == (5, 480, 5, 100, 0.96)
