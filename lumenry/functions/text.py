@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,27 +116,53 @@ def word_tokens(text: Column) -> Column:
 
 
 def spaced_tokens(text: Column) -> Column:
-    """(token, start, end) of each run between white space."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0))
-    lengths = F.transform(pieces, F.length)
-    before = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b)
+    """(token, start, end) of each run between white space; null for a null text.
 
-    def token(piece: Column, i: Column) -> Column:
-        word = F.regexp_replace(piece, r"(?U)^\s+", "")
-        end = before(i + 1)
-        return F.struct(word.alias("token"), (end - F.length(word)).cast("int").alias("start"), end.cast("int").alias("end"))
+    In Arrow batches, one pass over each text: the built-in functions give no places of matches, and sums of the
+    lengths before each of them take a number of steps that is quadratic in the tokens.
+    """
 
-    return F.transform(pieces, token)
+    @F.arrow_udf("array<struct<token:string,start:int,end:int>>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        counts, found, starts, ends = [], [], [], []
+        for t in texts.to_pylist():
+            before = len(found)
+            for m in re.finditer(r"\S+", t or ""):
+                found.append(m[0])
+                starts.append(m.start())
+                ends.append(m.end())
+            counts.append(None if t is None else len(found) - before)
+        return _lists(counts, [pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["token", "start", "end"])
+
+    return tokens(text)
+
+
+def _lists(counts: list[int | None], columns: list[pa.Array], names: list[str]) -> pa.Array:
+    """Lists of so many structs each, of columns that hold those of all lists in a row; null for None."""
+    offsets, total = [], 0
+    for n in counts:
+        offsets.append(None if n is None else total)
+        total += n or 0
+    return pa.ListArray.from_arrays(pa.array([*offsets, total], pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
 def all_spans(text: Column, phrase: Column) -> Column:
     """(start, end) of all occurrences regardless of case, left to right, without overlaps."""
-    low, needle = F.lower(text), F.lower(phrase)
-    parts = F.call_function("split", low, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), F.lit(-1))
-    lengths = F.transform(parts, F.length)
-    starts = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: (F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, b: a + b) + i * F.length(needle)).cast("int"))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + F.length(needle)).cast("int").alias("end")))
-    return F.when(F.length(needle) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pa.Array, phrases: pa.Array) -> pa.Array:
+        counts, starts, ends = [], [], []
+        for low, needle in zip(texts.to_pylist(), phrases.to_pylist()):
+            n = 0
+            at = low.find(needle) if low is not None and needle else -1
+            while at >= 0:
+                n += 1
+                starts.append(at)
+                ends.append(at + len(needle))
+                at = low.find(needle, at + len(needle))
+            counts.append(None if low is None or needle is None else n)
+        return _lists(counts, [pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
+
+    return spans(F.lower(text), F.lower(phrase))
 
 
 def extract_json(text: Column) -> Column:
@@ -159,9 +187,10 @@ def padded(ids: Column, length: int, fill: int = -100) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    parts = F.struct(powers.alias("powers"), F.lit(0).alias("none"))
+    summed = let(parts, lambda p: F.struct(p["powers"].alias("powers"), F.aggregate(p["powers"], F.lit(0.0), lambda a, b: a + b).alias("total")))
+    return let(summed, lambda s: F.transform(s["powers"], lambda x: x / s["total"]))
 
 
 def sigmoid(c: Column) -> Column:

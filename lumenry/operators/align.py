@@ -29,6 +29,12 @@ def aligned(references: DataFrame, predictions: DataFrame, key: str = "key") ->
     return references.join(predictions.withColumn("matched", F.lit(True)), key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def unique_last(predictions: DataFrame, order: str | None = None) -> DataFrame:
+    """One prediction a key, the last by `order`, or by place in the input where the rows have no such column; those without a key are left out."""
+    rows = predictions if order else predictions.withColumn("_at", F.monotonically_increasing_id())
+    return last_by_key(rows, ["key"], [F.col(order or "_at")]).drop("_at")
+
+
 def reference_counts(rows: DataFrame, by: Sequence[str] = (), valid: str = "is_valid_json") -> DataFrame:
     """(by, examples, matched, missing, invalid) of aligned references; a missing prediction is also an invalid one, an unflagged one is valid."""
     n = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("bigint")

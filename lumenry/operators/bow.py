@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from ..sources.tables import cut_lineage
 
 
 @dataclass
@@ -22,20 +23,32 @@ class Model:
 
 
 def train(examples: DataFrame, labels: Sequence[str]) -> Model:
-    """Of rows (text, label); labels outside the label space are left out. Priors aren't smoothed."""
+    """Of rows (text, label); labels outside the label space are left out. Priors aren't smoothed.
+
+    The counts are written once; priors and totals have a row a label, so they pass through the driver.
+    """
     spark = examples.sparkSession
-    space = spark.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, place int")
     known = examples.where(F.col("label").isin(*labels))
-    docs = known.groupBy("label").agg(F.count("*").alias("docs"))
-    total = known.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    priors = space.join(docs, "label", "left").crossJoin(total).select("label", "place", (F.coalesce("docs", F.lit(0)) / F.col("n")).alias("prior"))
-    counts = known.select("label", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
-    size = counts.agg(F.greatest(F.count_distinct("token"), F.lit(1)).alias("vocabulary"))
-    sums = counts.groupBy("label").agg(F.sum("n").alias("total"))
-    totals = space.join(sums, "label", "left").crossJoin(size).select("label", F.coalesce("total", F.lit(0)).alias("total"), "vocabulary")
+    docs = {r["label"]: r["docs"] for r in known.groupBy("label").agg(F.count("*").alias("docs")).collect()}
+    counts = cut_lineage(known.select("label", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n")))
+    sums = {r["label"]: r["total"] for r in counts.groupBy("label").agg(F.sum("n").alias("total")).collect()}
+    size = max(1, counts.select("token").distinct().count())
+    priors = spark.createDataFrame([(x, i, docs.get(x, 0) / max(1, sum(docs.values()))) for i, x in enumerate(labels)], "label string, place int, prior double")
+    totals = spark.createDataFrame([(x, sums.get(x, 0), size) for x in labels], "label string, total bigint, vocabulary bigint")
     return Model(priors, counts, totals, labels)
 
 
+def save(model: Model, path: str) -> None:
+    """Writes the model as tables of a folder; what is there is replaced."""
+    for name in ("priors", "counts", "totals"):
+        getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    priors, counts, totals = (spark.read.parquet(f"{path}/{name}") for name in ("priors", "counts", "totals"))
+    return Model(priors, counts, totals, [r["label"] for r in priors.orderBy("place").select("label").collect()])
+
+
 def predict(model: Model, docs: DataFrame, key: str) -> DataFrame:
     """(key, predicted, score): the likeliest label, unknown words included; the first label on ties.
 

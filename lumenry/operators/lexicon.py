@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import all_spans, key_text
@@ -10,6 +14,9 @@ from .spans import greedy_nonoverlap
 
 #: Signs of a phrase's beginning that texts are joined on.
 ANCHOR = 4
+#: Phrases, and their signs, of a lexicon that every task may hold; a larger one is joined.
+HELD, HELD_SIGNS = 100_000, 4_000_000
+SPANS = "array<struct<start:int,end:int,type:string>>"
 
 
 def train(spans: DataFrame) -> DataFrame:
@@ -22,22 +29,91 @@ def label_counts(spans: DataFrame) -> DataFrame:
     return spans.where("type is not null").groupBy("type").agg(F.count("*").alias("n"))
 
 
+def top_label(spans: DataFrame, order: str) -> DataFrame:
+    """(type, n): the commonest type, the one seen first by `order` on ties; no row for no spans."""
+    seen = spans.where("type is not null").groupBy("type").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return seen.orderBy(F.desc("n"), "first", "type").limit(1).select("type", "n")
+
+
+def save(lexicon: DataFrame, path: str) -> None:
+    lexicon.select("phrase", "type").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str | None) -> DataFrame:
+    """A stored lexicon; an empty one where there is none, or what is there has other columns."""
+    try:
+        if path:
+            return spark.read.parquet(path).select("phrase", "type")
+    except AnalysisException:
+        pass
+    return spark.createDataFrame([], "phrase string, type string")
+
+
 def predict(docs: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
-    """(key, spans): of each text the phrases' occurrences, longest first, without overlaps. All rows come out.
+    """(key, spans): of each text the phrases' occurrences, longest first, without overlaps. All rows come out, a null text with none.
 
-    Texts meet only phrases whose beginning they hold: the first signs of a phrase join the texts' runs of as
-    many signs on equality, so the work grows with texts and hits and not with texts times phrases, and a
-    phrase is found within words too, as in scripts without spaces.
+    A lexicon of a checked size goes to every task, which reads each text once with an automaton of all phrases;
+    nothing is shuffled. A larger one, which grows with the data, meets the texts in a join.
     """
+    entries = lexicon.where("phrase <> ''").select("phrase", "type")
+    held = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("signs")).first()
+    if held["n"] <= HELD and held["signs"] <= HELD_SIGNS:
+        return by_automaton(docs, key, {r["phrase"]: r["type"] for r in entries.collect()})
+    return by_join(docs, key, entries)
+
+
+def by_automaton(docs: DataFrame, key: str, phrases: dict[str, str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for phrase in shared.value:
+            automaton.add_word(phrase, phrase)
+        if shared.value:
+            automaton.make_automaton()
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
+        for batch in batches:
+            found = []
+            for low in batch.column("low").to_pylist():
+                last: dict[str, int] = {}
+                hits = []
+                for end, phrase in automaton.iter(low) if low and shared.value else ():
+                    start = end + 1 - len(phrase)
+                    if start >= last.get(phrase, 0):  # occurrences of one phrase don't overlap
+                        last[phrase] = end + 1
+                        hits.append((-len(phrase), phrase, start))
+                taken = _without_overlaps(hits, len(low or ""))
+                found.append([{"start": a, "end": a + len(p), "type": shared.value[p]} for a, p in taken])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [key, "spans"])
+
+    rows = docs.select(key, F.lower("text").alias("low"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, spans {SPANS}")
+
+
+def _without_overlaps(hits: list[tuple[int, str, int]], size: int) -> list[tuple[int, str]]:
+    """(start, phrase), sorted, of hits taken in order, each unless a sign of it is taken."""
+    taken, used = [], bytearray(size)
+    for _, phrase, start in sorted(hits):
+        # What was taken before is no shorter, so it covers an end of what it overlaps.
+        if not used[start] and not used[start + len(phrase) - 1]:
+            used[start : start + len(phrase)] = b"\x01" * len(phrase)
+            taken.append((start, phrase))
+    return sorted(taken)
+
+
+def by_join(docs: DataFrame, key: str, entries: DataFrame) -> DataFrame:
+    """Texts meet only phrases whose beginning they hold: the first signs of a phrase join the texts' runs of as many
+    signs on equality. Only keys and runs are exploded; a text is joined to the phrases that it may hold."""
     size = F.least(F.length("phrase"), F.lit(ANCHOR))
-    entries = lexicon.where("phrase <> ''").select("phrase", "type", size.alias("n"), F.substring("phrase", 1, ANCHOR).alias("anchor"))
-    sizes = entries.agg(F.collect_set("n").alias("sizes"))  # one row of at most ANCHOR numbers
-    low = docs.select(key, "text", F.lower("text").alias("low")).where("text is not null").crossJoin(F.broadcast(sizes))
-    runs = low.select(key, "text", "low", F.explode("sizes").alias("n")).where(F.length("low") >= F.col("n"))
-    anchors = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda i: F.substring("low", i, F.col("n"))))
-    met = runs.select(key, "text", "low", "n", F.explode(anchors).alias("anchor")).join(entries, ["n", "anchor"]).where(F.contains("low", F.col("phrase")))
-    hits = met.select(key, "phrase", "type", F.inline(all_spans(F.col("text"), F.col("phrase"))))
+    begun = entries.select("phrase", "type", size.alias("n"), F.substring("phrase", 1, ANCHOR).alias("anchor"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.substring("low", i, n).alias("anchor")))
+    anchors = F.array_distinct(F.concat(*[F.when(F.length("low") >= n, runs(n)).otherwise(F.array().cast("array<struct<n:int,anchor:string>>")) for n in range(1, ANCHOR + 1)]))
+    texts = docs.where("text is not null").select(key, "text", F.lower("text").alias("low"))
+    met = texts.select(key, F.inline(anchors)).join(begun, ["n", "anchor"]).select(key, "phrase", "type").distinct()
+    hits = met.join(texts, key).where(F.contains("low", F.col("phrase"))).select(key, "phrase", "type", F.inline(all_spans(F.col("text"), F.col("phrase")))).distinct()
     order = F.struct((-F.length("phrase")).alias("rank"), "phrase", "start", "end", "type")
     ordered = F.transform(F.array_sort(F.collect_list(order)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["type"].alias("type")))
     chosen = hits.groupBy(key).agg(greedy_nonoverlap(ordered).alias("spans"))
-    return docs.select(key).join(chosen, key, "left").select(key, F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,type:string>>")).alias("spans"))
+    return docs.select(key).join(chosen, key, "left").select(key, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

@@ -52,6 +52,21 @@ def accuracy(pairs: DataFrame, gold: str, predicted: str, by: Sequence[str] = ()
     return pairs.groupBy(*by).agg(F.coalesce(F.avg(F.col(gold).eqNullSafe(F.col(predicted)).cast("double")), F.lit(0.0)).alias("accuracy"))
 
 
+def label_scores(pairs: DataFrame, gold: str, predicted: str, valid: str, by: Sequence[str]) -> DataFrame:
+    """(by, macro_f1, accuracy, json_schema_compliance) in one pass over the pairs: all three come from counts by (gold, predicted, valid)."""
+    by = list(by)
+    cells = pairs.groupBy(*by, F.col(gold).alias("g"), F.col(predicted).alias("p"), F.col(valid).alias("v")).agg(F.count("*").alias("n"))
+    hit = F.col("g").eqNullSafe(F.col("p"))
+    rest = cells.groupBy(*by).agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.when(F.col("v"), F.col("n")).otherwise(0)).alias("valid"), F.sum("n").alias("n"))
+    sides = F.array(
+        F.struct(F.col("g").alias("label"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.when(hit, 0).otherwise(F.col("n")).alias("wrong")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("bigint").alias("tp"), F.when(hit, 0).otherwise(F.col("n")).alias("wrong")),
+    )
+    per_label = cells.select(*by, F.inline(sides)).where("label is not null").groupBy(*by, "label").agg(F.sum("tp").alias("tp"), F.sum("wrong").alias("wrong"))
+    f1 = per_label.groupBy(*by).agg(F.avg(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("wrong"))).alias("macro_f1"))
+    return f1.join(rest, by).select(*by, "macro_f1", ratio(F.col("hits"), F.col("n")).alias("accuracy"), ratio(F.col("valid"), F.col("n")).alias("json_schema_compliance"))
+
+
 def sample_set_f1(rows: DataFrame, gold: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, set_f1): the mean of each row's F1 of two arrays as sets; two empty ones agree fully."""
     g, p = F.array_distinct(gold), F.array_distinct(predicted)

@@ -60,6 +60,17 @@ def analysis_of(text: Column, payload: Column) -> Column:
     return F.when(F.coalesce(_is_object(payload), F.lit(False)), found)
 
 
+def overall_label(payload: Column) -> Column:
+    """The overall sentiment alone of a JSON payload given as text; null if it has none or doesn't parse."""
+
+    def of(v: Column) -> Column:
+        overall = F.try_variant_get(F.coalesce(F.try_variant_get(v, "$.text_analysis", "variant"), v), "$.overall_sentiment", "variant")
+        nested = F.coalesce(_is_object(overall), F.lit(False))
+        return F.when(F.coalesce(_is_object(v), F.lit(False)), F.when(nested, _get(overall, "string", "sentiment", "label")).otherwise(F.try_variant_get(overall, "$", "string")))
+
+    return sentiment(let(F.when(~is_missing(payload), parse_json(payload)), of))
+
+
 def _head(body: Column) -> Column:
     """(label, score, zipped, emotions): what is overall, and the emotions that go with themes by place if there are such."""
     overall = F.try_variant_get(body, "$.overall_sentiment", "variant")

@@ -11,6 +11,12 @@ from .normalize import ANALYSIS
 LONGEST = 80
 
 
+def training_envelope(sentences: Column, label: Column, score: Column, metadata: Column, themes: Column) -> Column:
+    """A prediction as training writes it: the gold sentences all with the overall label and score, entities and themes as they are."""
+    one = lambda s: F.struct(s["sentence"].alias("sentence"), label.alias("sentence_sentiment"), clamp(score).alias("sentence_sentiment_score"))
+    return F.struct(F.struct(label.alias("overall_sentiment"), clamp(score).alias("sentiment_score"), F.transform(sentences, one).alias("sentence_sentiments"), metadata.alias("metadata"), themes.alias("main_themes")).alias("text_analysis"))
+
+
 def chosen(probabilities: Column, threshold: float = 0.5) -> Column:
     """The places of the probabilities that reach the threshold; the largest one's if none does; none of an empty array."""
     reached = F.filter(F.transform(probabilities, lambda p, i: F.when(p >= threshold, i)), lambda i: i.isNotNull())

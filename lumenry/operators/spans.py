@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import key_text
+
 SPANS = "array<struct<start:int,end:int,type:string>>"
 
 
@@ -47,9 +49,8 @@ def bio_decode(tokens: DataFrame, key: str, order: str, threshold: float = 0.80)
 
 
 def greedy_budget(entries: Column, most: int = 10, budget: int = 256) -> Column:
-    """Entries (confidence, size, name) in the given order while fewer than `most` and within the budget of sizes; what is too large is passed over."""
-    kind = "struct<taken:array<struct<confidence:double,size:int,name:string>>,used:int>"
-    start = F.from_json(F.lit('{"taken":[],"used":0}'), kind)
+    """Entries (confidence, size, name and others) in the given order while fewer than `most` and within the budget of sizes; what is too large is passed over."""
+    start = F.struct(F.slice(entries, 1, 0).alias("taken"), F.lit(0).alias("used"))
 
     def step(state: Column, e: Column) -> Column:
         fits = (F.size(state["taken"]) < most) & (state["used"] + e["size"] <= budget)
@@ -59,6 +60,18 @@ def greedy_budget(entries: Column, most: int = 10, budget: int = 256) -> Column:
     return F.aggregate(entries, start, step)["taken"]
 
 
+def best_by_name(entries: Column) -> Column:
+    """Entries (confidence, size, name, type), of equal type and name but for case the one of highest confidence, the first on
+    ties; then by confidence and size, both descending, equal ones in their order."""
+    key = lambda e: F.struct(key_text(e["type"]).alias("type"), key_text(e["name"]).alias("name"))
+    placed = F.transform(entries, lambda e, i: F.struct((-e["confidence"]).alias("a"), i.alias("place"), key(e).alias("key"), e.alias("e")))
+    ordered = F.array_sort(placed)
+    keys = F.transform(ordered, lambda x: x["key"])
+    kept = F.filter(ordered, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    ranked = F.array_sort(F.transform(kept, lambda x: F.struct(x["a"].alias("a"), (-x["e"]["size"]).alias("b"), x["place"].alias("place"), x["e"].alias("e"))))
+    return F.transform(ranked, lambda x: x["e"])
+
+
 def greedy_nonoverlap(candidates: Column) -> Column:
     """Spans (start, end, type) in the given order, each unless it overlaps one taken before; sorted."""
     fold = F.aggregate(candidates, F.array().cast(SPANS), lambda taken, c: F.when(F.exists(taken, lambda t: (c["start"] < t["end"]) & (c["end"] > t["start"])), taken).otherwise(F.concat(taken, F.array(c))))

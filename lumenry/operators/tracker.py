@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import safe_float, strip
 
+# The columns of the log.
 COLUMNS = (
     "timestamp_utc", "experiment_id", "run_tag", "model_registry_id", "hf_model_name", "model_family", "selection_strategy", "val_metric", "json_schema_compliance",
     "status", "checkpoint_path", "predictions_path", "metrics_json", "config_json", "notes",
@@ -104,6 +105,14 @@ def summary(log: DataFrame) -> DataFrame:
     return with_numbers(log).agg(best.alias("best"), F.count("*").alias("total_experiments")).select(F.col("best.experiment_id").alias("best_experiment_id"), F.col("best.metric").alias("best_val_metric"), "total_experiments")
 
 
+def within_budget(rows: DataFrame, key: str, order: str, seconds: str, budget: float = 300.0) -> DataFrame:
+    """The steps of each series that begin before its seconds, those of the first step aside, use up the budget. A window by key."""
+    w = W.partitionBy(key).orderBy(order)
+    first = F.row_number().over(w) == 1
+    before = F.coalesce(F.sum(F.when(~F.col("_first"), F.coalesce(F.col(seconds), F.lit(0.0)))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.withColumn("_first", first).withColumn("_before", before).where(F.col("_before") < budget).drop("_first", "_before")
+
+
 def loss_trend(rows: DataFrame, key: str, order: str, value: str, decay: float = 0.95, patience: int = 20, min_delta: float = 5e-4) -> DataFrame:
     """(key, steps, ema, best, stale, stopped): the smoothed last loss of each series, its best value, the steps since, and whether patience ran out.
 
