@@ -8,13 +8,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import example_id_or_ordinal, is_missing, key_text, parse_json, split_or_hash, stable_id, strip
 from ..operators.normalize import legacy_payload, tag_labels, with_analysis
-from ..operators.tracker import COLUMNS
+from ..operators.tracker import COLUMNS, summary
 
 # The names that each column may have, in order of preference.
 ALIASES = {
@@ -30,6 +31,7 @@ ALIASES = {
     "main_themes": ("main_themes", "themes", "theme_labels", "theme_annotations"),
 }
 LEGACY = ("overall_sentiment", "sentence_sentiments", "metadata", "main_themes")
+EXAMPLE_CONFIG = Path(__file__).with_name("example.config.json")
 METRICS = ("macro_f1", "accuracy", "json_schema_compliance")
 
 
@@ -116,10 +118,11 @@ class GenericConfig:
 
 
 def load_config(csv_path: str | None, explicit: str | None = None) -> GenericConfig:
-    """From the given file, or the one beside the CSV file; weights come out with sum 1."""
-    path = explicit or (f"{os.path.splitext(csv_path)[0]}.config.json" if csv_path else None)
-    if not path or not Path(path).exists():
-        raise FileNotFoundError(path or "a configuration is needed")
+    """From the given file, else the one beside the CSV file, else the packaged example; weights come out with sum 1."""
+    beside = f"{os.path.splitext(csv_path)[0]}.config.json" if csv_path else None
+    if explicit and not Path(explicit).exists():
+        raise FileNotFoundError(explicit)
+    path = explicit or (beside if beside and Path(beside).exists() else str(EXAMPLE_CONFIG))
     raw = json.loads(Path(path).read_text(encoding="utf-8"))
     if raw.get("task_kind", "classification") != "classification" or raw.get("prediction_format", "json") != "json":
         raise ValueError("only classification with JSON predictions is supported")
@@ -169,15 +172,39 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The experiment log, with `seq`; its header must be exactly that of the log. A missing file is an empty log."""
-    if not Path(path).exists():
+    """The experiment log, with `seq`: a file, or a folder as `append_log` writes it, whose parts sort by the time of
+    their writing. Its header must be exactly that of the log. A missing or empty log has no rows."""
+    try:
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t").option("recursiveFileLookup", True).csv(path)
+    except AnalysisException:
+        rows = None
+    if rows is None or not rows.columns:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in COLUMNS) + ", seq int")
-    rows = read_csv(spark, path, sep="\t")
     if tuple(rows.columns) != COLUMNS:
         raise ValueError(f"unexpected header: {rows.columns}")
     return with_ordinal(rows.select("*", "_metadata")).withColumnRenamed("ordinal", "seq").drop("_metadata")
 
 
+def with_parsed(log: DataFrame) -> DataFrame:
+    """Adds `metrics` and `config`, maps of the numbers and texts of metrics_json and config_json; empty where these are blank, broken or no objects."""
+    as_map = lambda c, kind: F.coalesce(F.try_variant_get(parse_json(F.col(c)), "$", f"map<string,{kind}>"), F.create_map().cast(f"map<string,{kind}>"))
+    return log.withColumns({"metrics": as_map("metrics_json", "double"), "config": as_map("config_json", "string")})
+
+
+def best_metric(log: DataFrame) -> float:
+    """The best metric so far; 0 for an empty log, and where it is no number."""
+    return float(summary(log).first()["best_val_metric"] or 0.0)
+
+
+def read_leaderboard(spark: SparkSession, path: str) -> dict:
+    """A written leaderboard; {} if there is none."""
+    try:
+        rows = spark.read.option("wholetext", True).text(path).collect()  # one row
+    except AnalysisException:
+        return {}
+    return json.loads(rows[0]["value"]) if rows else {}
+
+
 def key_values(lines: DataFrame) -> DataFrame:
     """(key, value) of `key: value` lines (ordinal, value); the last of a key counts, lines without a colon don't."""
     parts = F.split("value", ":", 2)

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CUTS: list[tuple[SparkSession, str]] = []
+
+
+def drop_cuts() -> None:
+    """Deletes all tables that `cut_lineage` wrote; nothing may read them any more."""
+    while _CUTS:
+        spark, path = _CUTS.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the application has ended; the folder is the cluster's to clear
+            _CUTS.clear()
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
@@ -16,16 +32,23 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests, local mode) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a lost executor costs no recomputation beyond it."""
+    """Writes df to the shared folder and reads it back: a lost executor costs no recomputation beyond it.
+
+    What a session wrote is deleted when its application ends (`drop_cuts`).
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if not _CUTS:
+        atexit.register(drop_cuts)
+    _CUTS.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,9 +29,9 @@ def test_prediction_lines(spark, tmp_path):
 
 
 def test_log_round_trip(spark, tmp_path):
-    record = {"experiment_id": "e", "model_registry_id": "m", "hf_model_name": "h", "model_family": "d", "val_metric": 0.123456789, "status": "keep", "notes": "a\tb", "metrics": {"b": 1, "a": 2}}
+    record = {"experiment_id": "e", "model_registry_id": "m", "hf_model_name": "h", "model_family": "d", "val_metric": 0.123456789, "json_schema_compliance": 1, "status": "keep", "notes": "a\tb", "metrics": {"b": 1, "a": 2}}
     writers.append_log(spark, str(tmp_path / "log"), record)
-    row = spark.read.parquet(str(tmp_path / "log")).first()
+    row = readers.read_log(spark, str(tmp_path / "log")).first()
     assert (row["val_metric"], row["notes"], row["metrics_json"]) == ("0.12345679", "a b", '{"a":2,"b":1}')
     with pytest.raises(ValueError):
         writers.log_row({"experiment_id": "e"})
