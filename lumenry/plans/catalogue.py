@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import align, bow, lexicon, metrics, normalize, predictions, spans, targets, tracker
+from ..sources import readers
 from ..sources.tables import cut_lineage, table
 from . import profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-LABELS = ("positive", "negative", "neutral")
+LABELS = fn.SENTIMENTS
 
 
 def query(sql: str | None = None) -> Callable:
@@ -49,6 +50,22 @@ _SPLIT = f"""SELECT row_id, id, CASE WHEN s = '' THEN {_HASHED.format('id')} ELS
     SELECT row_id, coalesce(nullif(CASE WHEN trim(example_id) = '' THEN '' ELSE example_id END, ''), printf('example-%06d', row_id)) AS id, lower(trim(coalesce(split, ''))) AS s FROM survey)"""
 
 
+# What Unicode counts as white space, at either end; and words with the white space before them.
+_ENDS = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
+_PIECES = r"regexp_extract_all({0}, '[\s\p{Z}]*[^\s\p{Z}]+')"
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, {_ENDS})"
+
+
+def _words_sql(rows: str, key: str, text: str) -> str:
+    """(key, place, token, start, end) of the words of each text."""
+    return f"""SELECT {key}, place::INT AS place, token, (last - length(token))::INT AS "start", last::INT AS "end" FROM (
+        SELECT {key}, i - 1 AS place, {_stripped("p[i]")} AS token, list_sum(list_transform(p[1:i], lambda x: length(x))) AS last FROM (
+          SELECT {key}, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT {key}, {_PIECES.replace("{0}", text)} AS p FROM ({rows}))))"""
+
+
 def survey_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "survey")
     example = fn.example_id_or_ordinal(F.col("example_id"), F.col("row_id"))
@@ -95,7 +112,7 @@ def sentence_split_stats(spark, sf_dir):
     return d.select("doc_id", F.size("s").alias("sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).alias("longest"))
 
 
-@query()
+@query(_words_sql("SELECT * FROM sentence_sentiment WHERE sentence IS NOT NULL", "sentence_id", "sentence"))
 def token_offsets(spark, sf_dir):
     s = table(spark, sf_dir, "sentence_sentiment").where("sentence is not null")
     return s.select("sentence_id", F.posexplode(fn.spaced_tokens(F.col("sentence"))).alias("place", "t")).select("sentence_id", "place", "t.*")
@@ -115,10 +132,16 @@ def phrase_find(spark, sf_dir):
     return p.select("annotation_id", "phrase", fn.find_start(F.col("raw_text"), F.col("phrase")).cast("int").alias("start"), F.contains("raw_text", F.col("phrase")).alias("found"), fn.source_cased(F.col("raw_text"), F.col("phrase")).alias("cased"))
 
 
-@query(f"SELECT p.annotation_id, p.phrase, (len(string_split(lower(s.raw_text), lower(p.phrase))) - 1)::INT AS hits FROM ({_PHRASES}) p JOIN survey s USING (row_id) WHERE p.phrase <> '' AND s.raw_text IS NOT NULL")
+def _starts_sql(low: str, needle: str) -> str:
+    """The places of all occurrences, from the lengths of what lies between them."""
+    parts = f"string_split({low}, {needle})"
+    return f"list_transform(range(1, len({parts})), lambda i: list_sum(list_transform({parts}[1:i], lambda x: length(x))) + (i - 1) * length({needle}))"
+
+
+@query(f"SELECT annotation_id, phrase, len(s)::INT AS hits, array_to_string(s, ',') AS places FROM (SELECT p.annotation_id, p.phrase, {_starts_sql('lower(s.raw_text)', 'lower(p.phrase)')} AS s FROM ({_PHRASES}) p JOIN survey s USING (row_id) WHERE p.phrase <> '' AND s.raw_text IS NOT NULL)")
 def phrase_find_all(spark, sf_dir):
-    p = _phrases(spark, sf_dir).where("phrase <> ''")
-    return p.select("annotation_id", "phrase", F.size(fn.all_spans(F.col("raw_text"), F.col("phrase"))).alias("hits"))
+    p = _phrases(spark, sf_dir).where("phrase <> ''").select("annotation_id", "phrase", fn.all_spans(F.col("raw_text"), F.col("phrase")).alias("s"))
+    return p.select("annotation_id", "phrase", F.size("s").alias("hits"), F.concat_ws(",", F.transform("s", lambda x: x["start"].cast("string"))).alias("places"))
 
 
 @query("SELECT prediction_id, CASE WHEN raw_output IS NULL OR trim(raw_output) = '' THEN '' WHEN regexp_matches(raw_output, '(?s)\\{.*\\}') THEN regexp_extract(raw_output, '(?s)\\{.*\\}', 0) ELSE trim(raw_output) END AS json_text FROM prediction")
@@ -126,12 +149,15 @@ def extract_json(spark, sf_dir):
     return table(spark, sf_dir, "prediction").select("prediction_id", fn.extract_json(F.col("raw_output")).alias("json_text"))
 
 
-def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, key, raw_text, analysis, is_valid) of survey records; the separate older columns count where there is no payload."""
-    s = table(spark, sf_dir, "survey")
+def _payload() -> Column:
+    """The payload of a survey record; the separate older columns count where there is none."""
     older = normalize.legacy_payload(*map(F.col, ("overall_sentiment", "overall_sentiment_score", "sentence_sentiments", "metadata", "main_themes")))
-    payload = F.coalesce(F.when(~fn.is_missing(F.col("response_text")), F.col("response_text")), older)
-    rows = align.keyed(s, "example_id").select("row_id", "key", fn.strip(F.col("raw_text")).alias("raw_text"), payload.alias("payload"), "ingested_at")
+    return F.coalesce(F.when(~fn.is_missing(F.col("response_text")), F.col("response_text")), older)
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, key, raw_text, analysis, is_valid) of survey records."""
+    rows = align.keyed(table(spark, sf_dir, "survey"), "example_id").select("row_id", "key", fn.strip(F.col("raw_text")).alias("raw_text"), _payload().alias("payload"), "ingested_at")
     return normalize.with_analysis(rows, "raw_text", "payload").drop("payload")
 
 
@@ -201,11 +227,11 @@ def matched_keys(spark, sf_dir):
 
 def scored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(experiment_id, key, gold, predicted, valid) of every last prediction whose reference has a sentiment; unreadable ones are 'invalid'."""
-    refs = align.last_by_key(analyses(spark, sf_dir).where("analysis.overall_sentiment is not null").select("key", F.col("analysis.overall_sentiment").alias("gold"), "ingested_at", "row_id"), ["key"], [F.col("ingested_at"), F.col("row_id")]).select("key", "gold")
-    last = _last_predictions(spark, sf_dir).select("experiment_id", "key", "prediction", "is_valid_json", F.lit("").alias("none"))
-    read = normalize.with_analysis(last, "none", "prediction")
-    ok = F.coalesce(F.col("is_valid_json"), F.lit(True)) & F.col("analysis.overall_sentiment").isNotNull()
-    return read.join(refs, "key").select("experiment_id", "key", "gold", F.when(ok, F.col("analysis.overall_sentiment")).otherwise(align.INVALID).alias("predicted"), ok.alias("valid"))
+    labels = align.keyed(table(spark, sf_dir, "survey"), "example_id").select("key", normalize.overall_label(_payload()).alias("gold"), "ingested_at", "row_id")
+    refs = align.last_by_key(labels.where("gold is not null"), ["key"], [F.col("ingested_at"), F.col("row_id")]).select("key", "gold")
+    last = _last_predictions(spark, sf_dir).select("experiment_id", "key", normalize.overall_label(F.col("prediction")).alias("label"), "is_valid_json")
+    ok = F.coalesce(F.col("is_valid_json"), F.lit(True)) & F.col("label").isNotNull()
+    return last.join(refs, "key").select("experiment_id", "key", "gold", F.when(ok, F.col("label")).otherwise(align.INVALID).alias("predicted"), ok.alias("valid"))
 
 
 _GOLD = f"""SELECT key, gold FROM (SELECT key, gold, row_number() OVER (PARTITION BY key ORDER BY ingested_at DESC NULLS LAST, row_id DESC) AS rn FROM (
@@ -232,14 +258,16 @@ def _macro_sql(pairs: str, by: str) -> str:
 
 @query(_macro_sql(_PAIRS, "experiment_id"))
 def macro_f1(spark, sf_dir):
-    return metrics.macro_f1(scored_predictions(spark, sf_dir), "gold", "predicted", ["experiment_id"]).select("experiment_id", _r(F.col("macro_f1"), "macro_f1"))
+    return _label_scores(spark, sf_dir).select("experiment_id", _r(F.col("macro_f1"), "macro_f1"))
+
+
+def _label_scores(spark, sf_dir) -> DataFrame:
+    return metrics.label_scores(scored_predictions(spark, sf_dir), "gold", "predicted", "valid", ["experiment_id"])
 
 
 @query(f"SELECT experiment_id, round(avg((gold = predicted)::INT::DOUBLE), 6) AS accuracy, round(avg((predicted <> 'invalid')::INT::DOUBLE), 6) AS json_schema_compliance FROM ({_PAIRS}) GROUP BY experiment_id")
 def accuracy(spark, sf_dir):
-    pairs = scored_predictions(spark, sf_dir)
-    found = metrics.accuracy(pairs, "gold", "predicted", ["experiment_id"]).join(metrics.compliance(pairs, "valid", ["experiment_id"]), "experiment_id")
-    return found.select("experiment_id", _r(F.col("accuracy"), "accuracy"), _r(F.col("json_schema_compliance"), "json_schema_compliance"))
+    return _label_scores(spark, sf_dir).select("experiment_id", _r(F.col("accuracy"), "accuracy"), _r(F.col("json_schema_compliance"), "json_schema_compliance"))
 
 
 @query(f"""SELECT round(avg(CASE WHEN 2*tp+fp+fn > 0 THEN 2.0::DOUBLE*tp/(2*tp+fp+fn) ELSE 0 END), 6) AS macro_f1 FROM (SELECT l.label, (SELECT count(*) FROM ({_PAIRS}) WHERE gold = l.label AND predicted = l.label) AS tp,
@@ -251,9 +279,7 @@ def macro_f1_fixed(spark, sf_dir):
 @query(f"""SELECT experiment_id, round(coalesce(m.macro_f1, 0) * 0.75 + coalesce(a.compliance, 0) * 0.25, 6) AS val_metric FROM ({_macro_sql(_PAIRS, "experiment_id").replace("round(avg(", "(avg(").replace(", 6) AS macro_f1", ") AS macro_f1")}) m
     JOIN (SELECT experiment_id, avg((predicted <> 'invalid')::INT::DOUBLE) AS compliance FROM ({_PAIRS}) GROUP BY experiment_id) a USING (experiment_id)""")
 def composite_score(spark, sf_dir):
-    pairs = scored_predictions(spark, sf_dir)
-    both = metrics.macro_f1(pairs, "gold", "predicted", ["experiment_id"]).join(metrics.compliance(pairs, "valid", ["experiment_id"]), "experiment_id")
-    return both.select("experiment_id", _r(metrics.composite({c: F.col(c) for c in ("macro_f1", "json_schema_compliance")}, {"macro_f1": 3.0, "json_schema_compliance": 1.0}), "val_metric"))
+    return _label_scores(spark, sf_dir).select("experiment_id", _r(metrics.composite({c: F.col(c) for c in ("macro_f1", "json_schema_compliance")}, {"macro_f1": 3.0, "json_schema_compliance": 1.0}), "val_metric"))
 
 
 def _analysis_pairs(spark, sf_dir) -> DataFrame:
@@ -273,7 +299,7 @@ def score_analyses(spark, sf_dir):
 
 
 @query(f"""SELECT split, count(*) AS examples, count(p.key) AS matched, count(*) - count(p.key) AS missing, sum(CASE WHEN p.key IS NULL OR p.is_valid_json = false THEN 1 ELSE 0 END)::BIGINT AS invalid FROM (
-    SELECT nullif(trim(s.example_id), '') AS key, any_value(x.split) AS split FROM survey s JOIN ({_SPLIT}) x USING (row_id) WHERE nullif(trim(s.example_id), '') IS NOT NULL GROUP BY 1 HAVING count(DISTINCT x.split) = 1) r LEFT JOIN (
+    SELECT nullif(trim(s.example_id), '') AS key, x.split FROM survey s JOIN ({_SPLIT}) x USING (row_id) WHERE nullif(trim(s.example_id), '') IS NOT NULL AND x.split IS NOT NULL GROUP BY 1, 2) r LEFT JOIN (
     SELECT key, is_valid_json FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written_at DESC, prediction_id DESC) AS rn FROM ({_KEYED}) WHERE key IS NOT NULL) WHERE rn = 1) p USING (key) GROUP BY split""")
 def alignment_by_split(spark, sf_dir):
     refs = align.keyed(table(spark, sf_dir, "survey"), "example_id").select("row_id", "key").where("key is not null").join(survey_splits(spark, sf_dir).select("row_id", "split"), "row_id")
@@ -305,32 +331,59 @@ def _entity_sets(spark, sf_dir) -> DataFrame:
     return _analysis_pairs(spark, sf_dir).select(entities("gold"), entities("predicted"))
 
 
-_SETS = """SELECT row_id, coalesce(g, []) AS g, coalesce(p, []) AS p, len(list_intersect(coalesce(g, []), coalesce(p, []))) AS hit FROM
-    (SELECT row_id, list(DISTINCT lower(trim(theme))) AS g FROM theme_annotation WHERE trim(theme) <> '' GROUP BY row_id) FULL JOIN
-    (SELECT row_id, list(DISTINCT lower(trim(emotion))) AS p FROM theme_annotation WHERE trim(emotion) <> '' GROUP BY row_id) USING (row_id)"""
-
-
-@query(f"SELECT round(avg(CASE WHEN len(g) = 0 AND len(p) = 0 THEN 1.0 WHEN len(g) + len(p) = 0 THEN 0 ELSE 2.0::DOUBLE * hit / (len(g) + len(p)) END), 6) AS set_f1 FROM ({_SETS})")
+@query()
 def set_f1(spark, sf_dir):
     return metrics.sample_set_f1(_theme_sets(spark, sf_dir), "gold", "predicted").select(_r(F.col("set_f1"), "set_f1"))
 
 
-@query(f"SELECT round(coalesce(sum(hit) / nullif(sum(len(p)), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(sum(hit) / nullif(sum(len(g)), 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0::DOUBLE * sum(hit) / nullif(sum(len(p)) + sum(len(g)), 0), 0), 6) AS f1 FROM ({_SETS})")
+@query()
 def span_prf(spark, sf_dir):
     return metrics.micro_prf(_entity_sets(spark, sf_dir), "gold", "predicted").select(_r(F.col("precision"), "precision"), _r(F.col("recall"), "recall"), _r(F.col("f1"), "f1"))
 
 
+def _annotated_themes(spark, sf_dir) -> DataFrame:
+    """(experiment_id, gold, predicted): the annotated themes of each record against those of the last predictions of it, both as they are compared."""
+    themes = table(spark, sf_dir, "theme_annotation").groupBy("row_id").agg(F.collect_set(F.when(~fn.is_missing(F.col("theme")), fn.key_text(F.col("theme")))).alias("gold"))
+    refs = align.last_by_key(align.keyed(table(spark, sf_dir, "survey"), "example_id").select("key", "row_id", "ingested_at"), ["key"], [F.col("ingested_at"), F.col("row_id")]).select("key", "row_id")
+    none = F.array().cast("array<string>")
+    names = F.transform(F.try_variant_get(fn.parse_json(F.col("prediction")), "$.text_analysis.main_themes", "array<variant>"), lambda t: fn.key_text(F.try_variant_get(t, "$.theme", "string")))
+    said = F.array_distinct(F.filter(F.coalesce(names, none), lambda x: x != ""))
+    last = _last_predictions(spark, sf_dir).select("experiment_id", "key", said.alias("predicted"))
+    return last.join(refs, "key").join(themes, "row_id", "left").select("experiment_id", F.coalesce("gold", none).alias("gold"), "predicted")
+
+
+_THEMES = f"""SELECT experiment_id, coalesce(t.gold, []) AS g, coalesce(l.said, []) AS p, len(list_intersect(coalesce(t.gold, []), coalesce(l.said, []))) AS hit FROM (
+      SELECT experiment_id, key, list_distinct(list_filter(list_transform(CASE WHEN json_valid(prediction) THEN json_extract_string(prediction, '$.text_analysis.main_themes[*].theme') ELSE [] END, lambda x: lower({_stripped("x")})), lambda x: x <> '')) AS said FROM ({_LAST})) l
+    JOIN (SELECT key, row_id FROM (SELECT nullif(trim(example_id), '') AS key, row_id, row_number() OVER (PARTITION BY nullif(trim(example_id), '') ORDER BY ingested_at DESC NULLS LAST, row_id DESC) AS rn FROM survey) WHERE key IS NOT NULL AND rn = 1) r ON r.key = l.key
+    LEFT JOIN (SELECT row_id, list(DISTINCT lower({_stripped("theme")})) AS gold FROM theme_annotation WHERE {_stripped("theme")} <> '' GROUP BY row_id) t ON t.row_id = r.row_id"""
+
+
+@query(f"SELECT experiment_id, round(avg(CASE WHEN len(g) + len(p) = 0 THEN 1.0 ELSE 2.0::DOUBLE * hit / (len(g) + len(p)) END), 6) AS set_f1 FROM ({_THEMES}) GROUP BY experiment_id")
+def theme_set_f1(spark, sf_dir):
+    return metrics.sample_set_f1(_annotated_themes(spark, sf_dir), "gold", "predicted", ["experiment_id"]).select("experiment_id", _r(F.col("set_f1"), "set_f1"))
+
+
+@query(f"SELECT experiment_id, round(coalesce(sum(hit) / nullif(sum(len(p)), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(sum(hit) / nullif(sum(len(g)), 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0::DOUBLE * sum(hit) / nullif(sum(len(p)) + sum(len(g)), 0), 0), 6) AS f1 FROM ({_THEMES}) GROUP BY experiment_id")
+def theme_prf(spark, sf_dir):
+    found = metrics.micro_prf(_annotated_themes(spark, sf_dir), "gold", "predicted", ["experiment_id"])
+    return found.select("experiment_id", *[_r(F.col(c), c) for c in ("precision", "recall", "f1")])
+
+
 def _sentence_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Annotated sentences with their labels, and the simple sentences of the texts that have such, all with the record's overall label."""
     s = table(spark, sf_dir, "sentence_sentiment").where("sentence is not null").select("row_id", fn.strip(F.col("sentence")).alias("sentence"), fn.sentiment(F.col("sentence_sentiment")).alias("label"), "item_no")
-    even, odd = s.where("item_no % 2 = 0"), s.where("item_no % 2 = 1")
-    last = lambda x: align.last_by_key(x, ["row_id", "sentence"], [F.col("item_no")]).select("row_id", "sentence", "label")
-    return last(even), last(odd)
+    gold = align.last_by_key(s, ["row_id", "sentence"], [F.col("item_no")]).select("row_id", "sentence", "label")
+    texts = table(spark, sf_dir, "survey").select("row_id", F.explode(fn.simple_sentences(F.col("raw_text"))).alias("sentence"), normalize.overall_label(F.col("response_text")).alias("label"))
+    return gold, texts.join(s.select("row_id"), "row_id", "left_semi").distinct()
 
 
-_HALF = "SELECT row_id, trim(sentence, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) AS sentence, arg_max(CASE WHEN lower(trim(sentence_sentiment)) IN ('positive','negative','neutral') THEN lower(trim(sentence_sentiment)) ELSE '' END, item_no) AS label FROM sentence_sentiment WHERE sentence IS NOT NULL AND item_no % 2 = {0} GROUP BY 1, 2"
+_ANNOTATED = f"SELECT row_id, {_stripped('sentence')} AS sentence, arg_max(CASE WHEN lower(trim(sentence_sentiment)) IN ('positive','negative','neutral') THEN lower(trim(sentence_sentiment)) ELSE '' END, item_no) AS label FROM sentence_sentiment WHERE sentence IS NOT NULL GROUP BY 1, 2"
+_SIMPLE = f"""SELECT DISTINCT row_id, sentence, CASE WHEN l IN ('positive','negative','neutral') THEN l ELSE '' END AS label FROM (
+    SELECT row_id, unnest(list_filter(list_transform(regexp_extract_all(raw_text, '[^.!?]+[.!?]?'), lambda x: {_stripped("x")}), lambda x: x <> '')) AS sentence FROM survey WHERE row_id IN (SELECT row_id FROM sentence_sentiment WHERE sentence IS NOT NULL)) t
+    LEFT JOIN (SELECT row_id, lower(trim(coalesce(b->>'$.overall_sentiment.sentiment', b->>'$.overall_sentiment.label', b->>'$.overall_sentiment'))) AS l FROM ({_BODY})) x USING (row_id)"""
 
 
-@query(f"SELECT gold, predicted, count(*) AS n FROM (SELECT coalesce(nullif(a.label, ''), 'missing') AS gold, coalesce(nullif(b.label, ''), 'missing') AS predicted FROM ({_HALF.format(0)}) a FULL JOIN ({_HALF.format(1)}) b USING (row_id, sentence)) GROUP BY gold, predicted")
+@query(f"SELECT gold, predicted, count(*) AS n FROM (SELECT coalesce(nullif(a.label, ''), 'missing') AS gold, coalesce(nullif(b.label, ''), 'missing') AS predicted FROM ({_ANNOTATED}) a FULL JOIN ({_SIMPLE}) b USING (row_id, sentence)) GROUP BY gold, predicted")
 def sentence_outer_align(spark, sf_dir):
     gold, predicted = _sentence_labels(spark, sf_dir)
     return align.outer_labels(gold, predicted, ["row_id", "sentence"]).groupBy("gold", "predicted").agg(F.count("*").alias("n"))
@@ -344,13 +397,19 @@ def _metadata_spans(spark, sf_dir) -> DataFrame:
     return found.select("row_id", "text", "labels", fn.spaced_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+_ENTITY_SPANS = f"""SELECT row_id, s, s + length(name) AS e, type FROM (
+    SELECT row_id, name, type, instr(text, name) - 1 AS s FROM (SELECT DISTINCT row_id, metadata_name AS name, coalesce(lower({_stripped("metadata_type")}), '') AS type FROM metadata_entity WHERE {_stripped("metadata_name")} <> '')
+    JOIN (SELECT row_id, {_stripped("raw_text")} AS text FROM survey) USING (row_id) WHERE text <> '') WHERE s >= 0"""
+_TEXT_TOKENS = _words_sql(f"SELECT row_id, {_stripped('raw_text')} AS text FROM survey WHERE row_id IN (SELECT row_id FROM metadata_entity)", "row_id", "text")
+
+
+@query(f"""SELECT row_id, token, "start", "end", arg_min(type, (s, e, type)) AS token_labels FROM ({_TEXT_TOKENS}) t JOIN ({_ENTITY_SPANS}) x USING (row_id) WHERE t."start" < x.e AND t."end" > x.s GROUP BY row_id, token, "start", "end" """)
 def span_overlap_join(spark, sf_dir):
     rows = _metadata_spans(spark, sf_dir).withColumn("token_labels", spans.token_labels(F.col("tokens"), F.col("labels")))
     return rows.select("row_id", F.inline(F.arrays_zip("tokens", "token_labels"))).where("token_labels <> 'O'").select("row_id", "tokens.*", "token_labels")
 
 
-@query()
+@query(f"""SELECT row_id, token, arg_min(CASE WHEN "start" = s THEN 'B-' ELSE 'I-' END || type, (s, e, type)) AS bio FROM ({_TEXT_TOKENS}) t JOIN ({_ENTITY_SPANS}) x USING (row_id) WHERE t."start" >= x.s AND t."end" <= x.e GROUP BY row_id, place, token""")
 def bio_encode(spark, sf_dir):
     rows = _metadata_spans(spark, sf_dir).withColumn("bio", spans.bio_labels(F.col("tokens"), F.col("labels")))
     return rows.select("row_id", F.inline(F.arrays_zip("tokens", "bio"))).where("bio <> 'O'").select("row_id", "tokens.token", "bio")
@@ -369,16 +428,24 @@ _RUNS = """SELECT user_id, event_type, conf, grp, row_number() OVER (PARTITION B
 
 @query("""SELECT user_id, type, count(*) AS entities, sum(tokens)::BIGINT AS tokens, round(max(confidence), 6) AS best FROM (
     SELECT user_id, island, type, count(*) AS tokens, avg(conf) AS confidence FROM (
-      SELECT *, sum(CASE WHEN type IS NOT NULL AND (prev IS DISTINCT FROM type) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (
+      SELECT *, sum(CASE WHEN type IS NOT NULL AND (prev IS DISTINCT FROM type OR value >= 80) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (
         SELECT *, lag(type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM (
           SELECT *, value / 100.0::DOUBLE AS conf, CASE WHEN value / 100.0::DOUBLE >= 0.2 THEN event_type END AS type FROM events))) WHERE type IS NOT NULL GROUP BY user_id, island, type) GROUP BY user_id, type""")
 def bio_decode(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.concat(F.lit("I-"), F.col("event_type")).alias("label"), (F.col("value") / 100).alias("confidence"), F.lit(0).alias("start"), F.lit(1).alias("end"))
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.concat(F.when(F.col("value") >= 80, "B-").otherwise("I-"), F.col("event_type")).alias("label"), (F.col("value") / 100).alias("confidence"), F.lit(0).alias("start"), F.lit(1).alias("end"))
     found = spans.bio_decode(e, "user_id", "at", threshold=0.2)
     return found.groupBy("user_id", "type").agg(F.count("*").alias("entities"), F.sum("tokens").alias("tokens"), _r(F.max("confidence"), "best"))
 
 
-@query()
+def _fold_sql(entries: str, most: int, budget: int) -> str:
+    """(row_id, i) of the entries (row_id, i, size) that are taken one after the other while there is room."""
+    return f"""WITH RECURSIVE e AS ({entries}), f(row_id, i, n, used, hit) AS (
+        SELECT row_id, 0::BIGINT, 0, 0::BIGINT, false FROM e GROUP BY row_id UNION ALL
+        SELECT f.row_id, e.i, n + (n < {most} AND used + size <= {budget})::INT, used + CASE WHEN n < {most} AND used + size <= {budget} THEN size ELSE 0 END, n < {most} AND used + size <= {budget} FROM f JOIN e ON e.row_id = f.row_id AND e.i = f.i + 1)
+        SELECT e.row_id, (f.n - 1)::INT AS place, e.name FROM f JOIN e USING (row_id, i) WHERE f.hit"""
+
+
+@query(_fold_sql(f"SELECT row_id, theme AS name, length(theme) AS size, row_number() OVER (PARTITION BY row_id ORDER BY coalesce(theme_relevance_score, 0) DESC, length(theme) DESC, theme) AS i FROM theme_annotation WHERE {_stripped('theme')} <> ''", 3, 40))
 def greedy_budget(spark, sf_dir):
     t = table(spark, sf_dir, "theme_annotation").where(~fn.is_missing(F.col("theme")))
     entry = F.struct(F.coalesce("theme_relevance_score", F.lit(0.0)).alias("confidence"), F.length("theme").alias("size"), F.col("theme").alias("name"))
@@ -387,6 +454,19 @@ def greedy_budget(spark, sf_dir):
     return rows.select("row_id", F.posexplode(spans.greedy_budget(F.col("entries"), most=3, budget=40)).alias("place", "e")).select("row_id", "place", "e.name")
 
 
+_BY_NAME = f"""SELECT row_id, metadata_name AS name, length(metadata_name) AS size, row_number() OVER (PARTITION BY row_id ORDER BY confidence DESC, length(metadata_name) DESC, item_no) AS i FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id, lower({_stripped("coalesce(metadata_type, '')")}), lower({_stripped("metadata_name")}) ORDER BY confidence DESC, item_no) AS same FROM (
+      SELECT *, coalesce(metadata_sentiment_score, 0) AS confidence FROM metadata_entity WHERE {_stripped("metadata_name")} <> '')) WHERE same = 1"""
+
+
+@query(_fold_sql(_BY_NAME, 2, 24))
+def entity_budget(spark, sf_dir):
+    m = table(spark, sf_dir, "metadata_entity").where(~fn.is_missing(F.col("metadata_name")))
+    entry = F.struct(F.coalesce("metadata_sentiment_score", F.lit(0.0)).alias("confidence"), F.length("metadata_name").alias("size"), F.col("metadata_name").alias("name"), F.coalesce("metadata_type", F.lit("")).alias("type"))
+    rows = m.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_no", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
+    return rows.select("row_id", F.posexplode(spans.greedy_budget(spans.best_by_name(F.col("entries")), most=2, budget=24)).alias("place", "e")).select("row_id", "place", "e.name")
+
+
 # Bags of words over typed themes: the sentiment is the label.
 _DOCS = f"SELECT annotation_id, theme AS text, lower(trim(theme_sentiment)) AS label, {_HASHED.format('annotation_id::VARCHAR')} AS split FROM theme_annotation WHERE trim(theme) <> '' AND lower(trim(theme_sentiment)) IN ('positive','negative','neutral')"
 _TOKENS = "SELECT label, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_'']+')) AS token FROM ({0}) WHERE split = 'train'".format(_DOCS)
@@ -456,14 +536,21 @@ def lexicon_train(spark, sf_dir):
     return lexicon.train(_entity_spans(spark, sf_dir))
 
 
-@query()
+# Occurrences of each phrase without overlaps, then of all phrases the longest first.
+_LEX_HITS = f"""SELECT row_id, phrase, type, s, s + length(phrase) AS e, row_number() OVER (PARTITION BY row_id ORDER BY length(phrase) DESC, phrase, s) AS i FROM (
+    SELECT row_id, phrase, type, unnest({_starts_sql("low", "phrase")}) AS s FROM (SELECT row_id, lower({_stripped("raw_text")}) AS low FROM survey WHERE raw_text IS NOT NULL) JOIN ({_LEX}) ON contains(low, phrase))"""
+
+
+@query(f"""WITH RECURSIVE h AS ({_LEX_HITS}), f(row_id, i, taken) AS (SELECT row_id, 0::BIGINT, []::STRUCT(s BIGINT, e BIGINT, type VARCHAR)[] FROM h GROUP BY row_id UNION ALL
+    SELECT f.row_id, h.i, CASE WHEN len(list_filter(taken, lambda t: h.s < t.e AND h.e > t.s)) = 0 THEN list_append(taken, {{'s': h.s::BIGINT, 'e': h.e::BIGINT, 'type': h.type}}) ELSE taken END FROM f JOIN h ON h.row_id = f.row_id AND h.i = f.i + 1)
+    SELECT row_id, t.s::INT AS "start", t.e::INT AS "end", t.type AS type FROM (SELECT row_id, unnest(arg_max(taken, i)) AS t FROM f GROUP BY row_id)""")
 def lexicon_predict(spark, sf_dir):
     docs = table(spark, sf_dir, "survey").select("row_id", fn.strip(F.col("raw_text")).alias("text"))
     return lexicon.predict(docs, "row_id", lexicon.train(_entity_spans(spark, sf_dir))).select("row_id", F.inline("spans"))
 
 
-@query("""SELECT row_id, list_transform((SELECT list(DISTINCT lower(trim(emotion)) ORDER BY lower(trim(emotion))) FROM theme_annotation WHERE emotion IN (SELECT label_name FROM canonical_label)), lambda v: list_contains(e, v)::INT)::VARCHAR AS hot FROM (
-    SELECT row_id, list(DISTINCT lower(trim(emotion))) AS e FROM theme_annotation WHERE emotion IN (SELECT label_name FROM canonical_label) GROUP BY row_id)""")
+@query(f"""WITH e AS (SELECT row_id, nullif(lower({_stripped("emotion")}), '') AS name FROM theme_annotation)
+    SELECT row_id, list_transform((SELECT list(DISTINCT name ORDER BY name) FROM e WHERE name IS NOT NULL), lambda v: coalesce(list_contains(own, v), false)::INT)::VARCHAR AS hot FROM (SELECT row_id, list(DISTINCT name) AS own FROM e GROUP BY row_id)""")
 def vocabulary_multi_hot(spark, sf_dir):
     emotion = F.when(~fn.is_missing(F.col("emotion")), fn.key_text(F.col("emotion")))
     rows = table(spark, sf_dir, "theme_annotation").groupBy("row_id").agg(F.collect_set(emotion).alias("emotions"))
@@ -510,6 +597,20 @@ def improvement_delta(spark, sf_dir):
     return tracker.improvements(runs(spark, sf_dir)).select("seq", _r(F.col("delta"), "delta"))
 
 
+@query("""SELECT row_number() OVER (ORDER BY metric DESC, compliance DESC, timestamp_utc DESC, experiment_id)::INT AS rank, experiment_id, round(metric, 6) AS metric FROM (
+    SELECT *, coalesce(CASE WHEN NOT isnan(m) THEN m END, 0) AS metric, coalesce(CASE WHEN NOT isnan(c) THEN c END, 0) AS compliance FROM (SELECT *, try_cast(val_metric AS DOUBLE) AS m, try_cast(json_schema_compliance AS DOUBLE) AS c FROM experiment_log)) ORDER BY rank LIMIT 20""")
+def log_leaderboard(spark, sf_dir):
+    log = table(spark, sf_dir, "experiment_log").withColumn("seq", F.col("experiment_id"))
+    return tracker.leaderboard(log).select("rank", "experiment_id", _r(F.col("metric"), "metric"))
+
+
+@query("""SELECT experiment_id, timestamp_utc, name, round(value, 6) AS value FROM (SELECT experiment_id, timestamp_utc, name, (j->>('$."' || name || '"'))::DOUBLE AS value FROM (
+    SELECT experiment_id, timestamp_utc, j, unnest(json_keys(j)) AS name FROM (SELECT experiment_id, timestamp_utc, CASE WHEN json_valid(metrics_json) THEN metrics_json::JSON END AS j FROM experiment_log) WHERE json_type(j) = 'OBJECT'))""")
+def log_metrics(spark, sf_dir):
+    parsed = readers.with_parsed(table(spark, sf_dir, "experiment_log"))
+    return parsed.select("experiment_id", "timestamp_utc", F.explode("metrics").alias("name", "value")).select("experiment_id", "timestamp_utc", "name", _r(F.col("value"), "value"))
+
+
 @query("SELECT upper(trim(status)) AS status, count(*) AS n, round(count(*) / (SELECT count(*) FROM experiment_log)::DOUBLE, 6) AS share FROM experiment_log GROUP BY 1")
 def outcome_counts(spark, sf_dir):
     return tracker.outcome_counts(table(spark, sf_dir, "experiment_log")).select("status", "n", _r(F.col("share"), "share"))
@@ -523,9 +624,8 @@ def preflight_report(spark, sf_dir):
     return profiles.preflight(rows)
 
 
-@query("""SELECT domain, label FROM (SELECT 'union' AS domain, label FROM (SELECT lower(trim(theme)) AS label FROM theme_annotation UNION SELECT lower(trim(emotion)) FROM theme_annotation) UNION ALL
-    SELECT 'both', label FROM (SELECT lower(trim(theme)) AS label FROM theme_annotation INTERSECT SELECT lower(trim(emotion)) FROM theme_annotation) UNION ALL
-    SELECT 'theme only', label FROM (SELECT lower(trim(theme)) AS label FROM theme_annotation EXCEPT SELECT lower(trim(emotion)) FROM theme_annotation)) WHERE label <> '' AND regexp_matches(label, '^[a-z ]+$')""")
+@query(f"""WITH a AS (SELECT lower({_stripped("theme")}) AS label FROM theme_annotation), b AS (SELECT lower({_stripped("emotion")}) AS label FROM theme_annotation)
+    SELECT domain, label FROM (SELECT 'union' AS domain, label FROM (FROM a UNION FROM b) UNION ALL SELECT 'both', label FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'theme only', label FROM (FROM a EXCEPT FROM b)) WHERE label <> ''""")
 def set_operations(spark, sf_dir):
     t = table(spark, sf_dir, "theme_annotation")
     a, b = t.select(fn.key_text(F.col("theme")).alias("label")), t.select(fn.key_text(F.col("emotion")).alias("label"))
