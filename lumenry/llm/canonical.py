@@ -90,12 +90,14 @@ def map_values(values: DataFrame, labels: DataFrame) -> DataFrame:
     # Segment i of k + 1: the first ones as long as the floor, the last ones one longer.
     bounds = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((F.floor(i * length / (k + 1))).cast("int").alias("at"), (F.floor((i + 1) * length / (k + 1)) - F.floor(i * length / (k + 1))).cast("int").alias("n")))
     segments = sides.select("*", k.alias("k"), F.inline(bounds)).select("*", F.expr("substring(reference, at + 1, n)").alias("segment"))
+    # The places at which each segment may stand, so that the join is on the substring and on its place.
+    placed = segments.select("*", F.explode(F.sequence(F.greatest(F.col("at") - F.col("k"), F.lit(0)), F.col("at") + F.col("k"))).alias("place"))
     sizes = segments.groupBy("field_name", "sorted").agg(F.collect_set("n").alias("sizes"), F.max(F.length("reference") + F.col("k")).alias("longest"))
     forms = _forms(values)
     places = forms.join(sizes, ["field_name", "sorted"]).where(F.length("form") <= F.col("longest"))
     cut = places.select("field_name", "value", "form", "sorted", "cost", F.explode("sizes").alias("n")).where(F.length("form") >= F.col("n"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.length("form") - F.col("n"))).alias("place")).select("*", F.expr("substring(form, place + 1, n)").alias("segment"))
-    near = cut.join(segments, ["field_name", "sorted", "n", "segment"]).where((F.abs(F.col("place") - F.col("at")) <= F.col("k")) & (F.abs(F.length("form") - F.length("reference")) <= F.col("k")))
+    near = cut.join(placed, ["field_name", "sorted", "n", "segment", "place"]).where(F.abs(F.length("form") - F.length("reference")) <= F.col("k"))
     pairs = near.select("field_name", "value", "form", "cost", "reference", "label_id", "k").distinct()
     verified = pairs.select("*", F.levenshtein("form", "reference").alias("distance")).where(F.col("distance") <= F.greatest(F.col("k") - F.col("cost"), F.lit(0)))
     rank = F.struct((F.col("distance") * 2 + F.col("cost")).alias("rank"), "label_id", "distance")

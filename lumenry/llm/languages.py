@@ -149,13 +149,13 @@ def train(rows: DataFrame, sentences: SentenceModel) -> Model:
     """
     wanted = sorted({x for f in FAMILIES.values() for x in f})
     rank = F.xxhash64("text")
-    share = rows.where(F.col("label").isin(wanted) & (F.length("text") > 20)).groupBy("label").agg(F.count("*").alias("n")).collect()
+    share = rows.where(F.col("label").isin(wanted) & (F.length("text") > 0)).groupBy("label").agg(F.count("*").alias("n")).collect()
     # A hash threshold takes about twice the sample without sorting the rows; the sample is cut from that.
     limits = {r["label"]: min(1.0, 2.0 * SAMPLE / r["n"]) for r in share}
     if not limits:
         return Model([], np.zeros((0, FEATURES)), np.zeros(0))
     limit = F.create_map(*[F.lit(x) for code, p in limits.items() for x in (code, p)])
-    drawn = rows.where(F.col("label").isin(wanted) & (F.length("text") > 20)).where(F.pmod(rank, F.lit(1 << 30)) < limit[F.col("label")] * (1 << 30)).select("text", "label", rank.alias("rank"))
+    drawn = rows.where(F.col("label").isin(wanted) & (F.length("text") > 0)).where(F.pmod(rank, F.lit(1 << 30)) < limit[F.col("label")] * (1 << 30)).select("text", "label", rank.alias("rank"))
     by_label: dict[str, list] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["rank"], r["text"])):  # about 2 * SAMPLE rows of each label
         by_label.setdefault(r["label"], [])

@@ -21,7 +21,21 @@ from .sentences import train as train_sentences
 
 
 # SQL of the queries that it can express on whole tables.
-SQL = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+_BARE = r"lower(regexp_replace(raw_text, '[\s\p{Z}\p{P}\p{C}]+', '', 'g'))"
+_FORM = rf"replace(CASE WHEN {_BARE} <> '' THEN {_BARE} ELSE lower(regexp_replace(raw_text, '[\s\p{{Z}}\p{{C}}]+', '', 'g')) END, 'ß', 'ss')"
+_TEXTS = r"raw_text IS NOT NULL AND regexp_replace(raw_text, '[\s\p{Z}\p{C}]+', '', 'g') <> ''"
+_SPLIT = """CASE WHEN trim(coalesce(split, '')) <> '' THEN CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN lower(trim(split)) IN ('test', 'holdout') THEN 'test' END
+    WHEN ('0x' || substr(md5(coalesce(example_id, printf('example-%06d', row_id))), 1, 8))::BIGINT / 4294967295::DOUBLE < 0.2::DOUBLE THEN 'eval' ELSE 'train' END"""
+# A response as the sorted values of its fields, whatever their order and layout; what doesn't parse without white space.
+_RESPONSE = r"""SELECT row_id, raw_text, CASE WHEN json_valid(low) THEN 'j' || (SELECT string_agg(fullkey || '=' || coalesce(atom::VARCHAR, type), chr(10) ORDER BY fullkey, atom::VARCHAR) FROM json_tree(CASE WHEN json_valid(low) THEN low ELSE 'null' END))
+    ELSE 't' || regexp_replace(low, '\s+', '', 'g') END AS response FROM (SELECT row_id, raw_text, replace(lower(response_text), 'ß', 'ss') AS low FROM survey)"""
+_COPIES = f"SELECT row_id, min(row_id) OVER same AS first_row_id, count(*) OVER same AS copies FROM (SELECT row_id, {_FORM} AS form, response FROM ({_RESPONSE}) WHERE {_TEXTS}) WINDOW same AS (PARTITION BY form, response)"
+SQL = {
+    "p5_members": f"SELECT row_id AS id, split = 'train' AS trained, min(row_id) OVER (PARTITION BY form) AS class_id FROM (SELECT row_id, {_SPLIT} AS split, {_FORM} AS form FROM survey WHERE {_TEXTS}) WHERE split IS NOT NULL",
+    "p7_found": f"SELECT first_row_id, row_id FROM ({_COPIES}) WHERE first_row_id <> row_id",
+    "p7_copy_counts": f"SELECT first_row_id, copies FROM ({_COPIES}) WHERE first_row_id = row_id",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

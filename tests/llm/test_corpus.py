@@ -353,3 +353,10 @@ def test_fill_is_reported_against_the_least_number_of_containers(spark):
     specs = spark.createDataFrame([(1, "a", 100)], "spec_id bigint, spec_name string, capacity_tokens bigint")
     r = packing.fill(packing.pack_documents(items, specs), specs).first()
     assert (r["containers"], r["tokens"], r["least"], r["fullest"], r["filled"]) == (5, 480, 5, 100, 0.96)
+
+
+def test_copies_with_many_nulls_and_field_names_that_differ_in_case(spark):
+    rows = [(i, "Same text", None) for i in range(200)] + [(300, "same text", '{"a": 1, "A": 2}'), (301, "SAME TEXT", '{"A":2,"a":1}'), (302, "same text", '{"A":1,"a":2}')]
+    df = spark.createDataFrame(rows, "row_id bigint, raw_text string, response_text string")
+    got = {r["row_id"]: (r["first_row_id"], r["copies"]) for r in copies.survey_copies(df).collect()}
+    assert got == {i: (0, 200) for i in range(200)} | {300: (300, 2), 301: (300, 2), 302: (302, 1)}
