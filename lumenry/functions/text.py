@@ -29,7 +29,7 @@ def key_text(c: Column) -> Column:
 
 def is_missing(c: Column) -> Column:
     """Null or blank."""
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
 def is_missing_number(c: Column) -> Column:
@@ -48,8 +48,7 @@ def safe_float(c: Column, fallback: float = 0.0) -> Column:
 
 def sentiment(c: Column) -> Column:
     """A known sentiment label, else null."""
-    label = key_text(c)
-    return F.when(label.isin(*SENTIMENTS), label)
+    return let(key_text(c), lambda label: F.when(label.isin(*SENTIMENTS), label))
 
 
 def sentiment_or_neutral(c: Column) -> Column:

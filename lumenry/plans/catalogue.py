@@ -373,7 +373,8 @@ def _sentence_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Annotated sentences with their labels, and the simple sentences of the texts that have such, all with the record's overall label."""
     s = table(spark, sf_dir, "sentence_sentiment").where("sentence is not null").select("row_id", fn.strip(F.col("sentence")).alias("sentence"), fn.sentiment(F.col("sentence_sentiment")).alias("label"), "item_no")
     gold = align.last_by_key(s, ["row_id", "sentence"], [F.col("item_no")]).select("row_id", "sentence", "label")
-    texts = table(spark, sf_dir, "survey").select("row_id", F.explode(fn.simple_sentences(F.col("raw_text"))).alias("sentence"), normalize.overall_label(F.col("response_text")).alias("label"))
+    labelled = fn.let(normalize.overall_label(F.col("response_text")), lambda label: F.transform(fn.simple_sentences(F.col("raw_text")), lambda x: F.struct(x.alias("sentence"), label.alias("label"))))
+    texts = table(spark, sf_dir, "survey").select("row_id", F.inline(labelled))
     return gold, texts.join(s.select("row_id"), "row_id", "left_semi").distinct()
 
 
