@@ -1,21 +1,26 @@
 """Sentence boundaries in many languages by a hidden-event n-gram language model.
 
-The events are boundary tokens in the gaps between words where one could stand: after closing marks, at
-spaces next to scripts that are written without full stops, and at line breaks, where a boundary is certain.
-The model is trained on the corpus without labels, by expectation maximisation: the words around certain
+The events are boundary tokens in the gaps between words. Where a line has closing marks, or spaces next to
+scripts that are written without full stops, these are its gaps; in a line without any mark, every space is one.
+At line breaks a boundary is certain. The model of marks is trained on the corpus without labels, by expectation maximisation: the words around certain
 boundaries, line starts and line ends, tell first how likely a boundary token follows the word before a gap
-and precedes the word after it, and the gaps themselves then refine it. Forward-backward over the gaps of a line, coupled by the length of the sentence that
-two neighbouring boundaries would enclose, gives posteriors, and those above one half are boundaries.
+and precedes the word after it, and the gaps themselves then refine it. Lines without marks are read by a word
+n-gram model with boundary tokens among the words (`Words`): a word depends on the word before it, and the second
+of a sentence on the boundary too, which couples neighbouring gaps. Forward-backward over the gaps of a line gives
+posteriors, and those above one half are boundaries.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,19 +39,23 @@ _UNSTOPPED = "฀-๿຀-໿က-႟ក-៿"
 _GAP = re.compile(rf"[.!?…。！？｡।॥؟۔]+[\"'”’»」』）)\]]*|(?<=[{_UNSTOPPED}])\s+(?=\S)|(?<=\S)\s+(?=[{_UNSTOPPED}])")
 _CLOSED = re.compile(r"[.!?…。！？｡।॥؟۔]+[\"'”’»」』）)\]]*$")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
-_QUOTED = re.compile(r'"[^"]{1,300}"|“[^“”]{1,300}”|„[^„“”]{1,300}[“”]|«[^«»]{1,300}»|「[^「」]{1,300}」|『[^『』]{1,300}』|\([^()]{1,300}\)|（[^（）]{1,300}）')
+_QUOTED = re.compile(r'"[^"]+"|“[^“”]+”|„[^„“”]+[“”]|«[^«»]+»|「[^「」]+」|『[^『』]+』|\([^()]+\)|（[^（）]+）')
+_WORD = re.compile(r"\w+(?:['’-]\w+)*")
 _FIRST = re.compile(r"[^\W\d_]+|\d|\S")
 _IDEOGRAPH = re.compile("[぀-ヿ㐀-鿿豈-﫿" + _UNSTOPPED + "]")
 _TRAILING = re.compile("[☀-➿\ufe0f\u200d\U0001f000-\U0001faff]+\\s*[.!?…]+")
 _LETTER = re.compile(r"[^\W\d_]")
+_UNMARKED = re.compile(r"[^\W\d_](?:[\w\s'’\u0900-\u0dff-])*$")
 _DIGITS = re.compile(r"\d+")
 _LEAD = re.compile(r"^\W+")
 
 
 def _left(line: str, start: int, stop: str) -> tuple[str, str]:
     """The word before a gap, and its class."""
-    begin = max(line.rfind(" ", max(0, start - 24), start), line.rfind(" ", max(0, start - 24), start)) + 1
-    word = line[max(begin, start - 24) : start]
+    begin = start
+    while begin and not line[begin - 1].isspace():
+        begin -= 1
+    word = line[begin:start]
     if not word:
         return "", "none"
     if _IDEOGRAPH.match(word[-1]):
@@ -55,7 +64,7 @@ def _left(line: str, start: int, stop: str) -> tuple[str, str]:
     if word.isdigit():
         return "0", "number-first" if not line[:begin].strip() else "number"
     kind = "dotted" if "." in word else "one" if len(word) == 1 else "two" if len(word) == 2 else "short" if len(word) <= 4 else "word"
-    return word[-12:], kind if word[-1:].isalnum() else "sign"
+    return word, kind if word[-1:].isalnum() else "sign"
 
 
 def _shape(word: str) -> str:
@@ -81,7 +90,7 @@ def _right(line: str, at: int, cased: bool) -> tuple[str, str]:
         follows = line[at + 1 : at + 2]
         return word[0] + ("A" if follows.isupper() else "a" if follows.islower() else ""), "sign"
     case = ("A" if word[0].isupper() else "a" if word[0].islower() else "x") if cased else "n"
-    return case + word[:10].lower(), f"{case}{ord(word[0]) >> 9}"
+    return case + word.lower(), f"{case}{ord(word[0]) >> 9}"
 
 
 def _stop(mark: str) -> str:
@@ -104,6 +113,7 @@ def lines(text: str) -> Iterator[tuple[int, str]]:
 def gaps(line: str, cased: bool) -> list[tuple[int, int, tuple[str, str], str, tuple[str, str]]]:
     """(end, next, left, stop, right) of each gap of a line that a boundary token could fill."""
     inside = [m.span() for m in _QUOTED.finditer(line)]
+    opened = [a for a, _ in inside]
     found = []
     for m in _GAP.finditer(line):
         start, end = m.span()
@@ -114,7 +124,8 @@ def gaps(line: str, cased: bool) -> list[tuple[int, int, tuple[str, str], str, t
         after = m.end()
         while after < len(line) and line[after].isspace():
             after += 1
-        if after >= len(line) or any(a < end < b or (a < start and end < b) for a, b in inside):
+        quoted = bisect_left(opened, end) - 1
+        if after >= len(line) or (quoted >= 0 and end < inside[quoted][1]):
             continue
         if spaced and (found and found[-1][1] == after or not _LETTER.search(line, 0, start)):
             continue
@@ -137,6 +148,120 @@ def _addressed(line: str, at: int) -> bool:
     return "@" in word or "://" in word or (at - a <= 1 and word[:1].isupper())
 
 
+#: Cells of the tables of `Words`, of pairs of words and of single ones: they don't grow with the corpus.
+PAIR_CELLS, WORD_CELLS = 1 << 19, 1 << 17
+#: What a word's own counts are smoothed by, in words; and what a sentence's second word's are, in sentences.
+SMOOTH, SMOOTH_SECOND = 5.0, 5.0
+#: Stands for the end of a sentence among words.
+END = 0
+
+
+def word_id(word: str) -> int:
+    return zlib.crc32(_DIGITS.sub("0", word.lower()).encode("utf-8", "surrogatepass")) or 1
+
+
+def _pair_cell(a: int, b: int) -> int:
+    return (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) % PAIR_CELLS
+
+
+class Words:
+    """A word n-gram model with boundary tokens, counted on lines with marks, as if these were not written.
+
+    pairs: neighbouring words within sentences; seconds: the first two words of sentences; ends, starts, uses: of words.
+    """
+
+    TABLES = {"pairs": PAIR_CELLS, "seconds": PAIR_CELLS, "ends": WORD_CELLS, "starts": WORD_CELLS, "uses": WORD_CELLS}
+
+    def __init__(self) -> None:
+        for name, size in self.TABLES.items():
+            setattr(self, name, np.zeros(size, np.int64))
+
+    def count(self, marked: list[tuple[str, list]]) -> None:
+        """Adds lines with marks, each with its gaps. At line ends and strong marks a boundary is certain; at other marks nothing is counted."""
+        found: dict[str, list[int]] = {name: [] for name in self.TABLES}
+        known: dict[str, int] = {}
+        for line, between in marked:
+            begin, certain = 0, True
+            for end, after, _, stop, _ in [*between, (len(line), len(line), None, "x", None)]:
+                words = _WORD.findall(line[begin:end])
+                for w in words:
+                    if w not in known:
+                        known[w] = word_id(w)
+                ids = [known[w] for w in words]
+                sure = stop in STRONG
+                if ids:
+                    found["pairs"] += map(_pair_cell, ids, ids[1:])
+                    found["uses"] += ids if sure else ids[:-1]
+                    if sure:
+                        found["ends"].append(ids[-1])
+                    if certain:
+                        found["starts"].append(ids[0])
+                        found["seconds"].append(_pair_cell(ids[0], ids[1] if len(ids) > 1 else END))
+                begin, certain = after, sure
+        for name, cells in found.items():
+            table = getattr(self, name)
+            table += np.bincount(np.array(cells, np.int64) % len(table), minlength=len(table))
+
+    def ready(self) -> Words:
+        self._uses, self._ends, self._starts = max(1.0, float(self.uses.sum())), float(self.ends.sum()), float(self.starts.sum())
+        return self
+
+    def _alone(self, w: int) -> float:
+        return (self.uses[w % WORD_CELLS] + 0.5) / (self._uses + 0.5 * WORD_CELLS)
+
+    def follows(self, a: int, b: int) -> float:
+        """The probability of b, or of a boundary, after a word a within a sentence."""
+        own = self._ends / self._uses if b == END else self._alone(b)
+        n = self.ends[a % WORD_CELLS] if b == END else self.pairs[_pair_cell(a, b)]
+        return (n + SMOOTH * own) / (self.uses[a % WORD_CELLS] + SMOOTH)
+
+    def second(self, a: int, b: int) -> float:
+        """The same after a sentence's first word."""
+        return (self.seconds[_pair_cell(a, b)] + SMOOTH_SECOND * self.follows(a, b)) / (self.starts[a % WORD_CELLS] + SMOOTH_SECOND)
+
+    def begins(self, w: int) -> float:
+        return (self.starts[w % WORD_CELLS] + SMOOTH * self._alone(w)) / (self._starts + SMOOTH)
+
+    def steps(self, ids: list[int]) -> tuple[list, tuple[float, float]]:
+        """Of each gap [boundary before the word before it][boundary in it] what the model gives it, and of the end after the last word."""
+        log = lambda p: math.log(max(p, 1e-300))
+        found = []
+        for a, b in zip(ids, ids[1:]):
+            opening = log(self.begins(b))
+            found.append(((log(self.follows(a, b)), log(self.follows(a, END)) + opening), (log(self.second(a, b)), log(self.second(a, END)) + opening)))
+        return found, (log(self.follows(ids[-1], END)), log(self.second(ids[-1], END)))
+
+    def posteriors(self, ids: list[int]) -> list[float]:
+        """The probability of a boundary in each gap between words of a line, by forward-backward; its ends are boundaries."""
+        steps, last = self.steps(ids)
+        forward = [(-math.inf, 0.0)]
+        for no, yes in steps:
+            f = forward[-1]
+            forward.append((_sum(f[0] + no[0], f[1] + yes[0]), _sum(f[0] + no[1], f[1] + yes[1])))
+        backward = [last]
+        for no, yes in reversed(steps):
+            f = backward[-1]
+            backward.append((_sum(no[0] + f[0], no[1] + f[1]), _sum(yes[0] + f[0], yes[1] + f[1])))
+        odds = [a[0] + b[0] - a[1] - b[1] for a, b in zip(forward[1:], reversed(backward[:-1]))]
+        return [1 / (1 + math.exp(min(d, 700))) for d in odds]
+
+
+def _sum(a: float, b: float) -> float:
+    """The logarithm of the sum of what a and b are the logarithms of."""
+    top, low = (a, b) if a >= b else (b, a)
+    return top if low == -math.inf else top + math.log1p(math.exp(low - top))
+
+
+def unmarked(line: str) -> list[tuple[int, int, int]]:
+    """(start, end, id) of the words of a line that is written without marks, in a script with spaces between words; else none.
+
+    Without marks is a line in which nothing but spaces, hyphens and apostrophes parts words: lists and figures have other signs.
+    """
+    if _IDEOGRAPH.search(line) or not _UNMARKED.match(line):
+        return []
+    return [(*m.span(), word_id(m[0])) for m in _WORD.finditer(line)]
+
+
 @dataclass
 class Model:
     """Log-odds of a boundary token after the word before a gap, and by how much the word after it changes them."""
@@ -145,6 +270,7 @@ class Model:
     right: dict[tuple[str, str], float] = field(default_factory=dict)
     prior: float = 1.0
     short: float = -2.0
+    words: Words | None = None
 
     def odds(self, word: str, kind: str, stop: str, following: str, shape: str) -> float:
         left = self.left.get((word, stop))
@@ -173,8 +299,10 @@ def count_events(texts: DataFrame) -> DataFrame:
     """How often each surrounding occurs at gaps, and beside certain boundaries: line starts and line ends. All rows of `text`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             seen: Counter = Counter()
+            marked = []
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
@@ -185,12 +313,21 @@ def count_events(texts: DataFrame) -> DataFrame:
                     stop, start = (_stop(m[0]), m.start()) if m else ("s", len(line))
                     seen[*_left(line, start, stop), stop, "", "", "end"] += 1
                     between = gaps(line, cased)
+                    if m and not _IDEOGRAPH.search(line):
+                        marked.append((line, between))
                     if not between:
                         seen["", "", "", "", "", "short" if len(line) < 12 else "long"] += 1
                     for _, _, left, stop, right in between:
                         seen[*left, stop, *right, "gap"] += 1
-            rows = list(zip(*[(*k, n) for k, n in seen.items()])) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 6 else pa.string()) for i, c in enumerate(rows)], ["word", "kind", "stop", "following", "shape", "place", "n"])
+            words.count(marked)
+            yield rows_of([(*k, n) for k, n in seen.items()])
+        for name in Words.TABLES:
+            table = getattr(words, name)
+            yield rows_of([(str(cell), "", "", "", "", name, int(table[cell])) for cell in np.flatnonzero(table).tolist()])
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 6 else pa.string()) for i, c in enumerate(columns)], ["word", "kind", "stop", "following", "shape", "place", "n"])
 
     return texts.select("text").mapInArrow(count, _EVENTS).groupBy("word", "kind", "stop", "following", "shape", "place").agg(F.sum("n").alias("n"))
 
@@ -204,8 +341,13 @@ def train(texts: DataFrame) -> Model:
     events = cut_lineage(count_events(texts))
     totals = {r["place"]: r["n"] for r in events.groupBy("place").agg(F.sum("n").alias("n")).collect()}
     short = math.log((totals.get("short", 0) + 1) / (totals.get("short", 0) + totals.get("long", 0) + 20))
+    words = Words()
+    counted = events.where(F.col("place").isin(*Words.TABLES)).select("place", F.col("word").cast("int").alias("cell"), "n").toPandas()  # no more than the tables' cells
+    for name, own in counted.groupby("place"):
+        getattr(words, name)[own["cell"].to_numpy()] = own["n"].to_numpy()
+    words = words.ready() if len(counted) else None
     if not totals.get("gap"):
-        return Model(short=short)
+        return Model(short=short, words=words)
     least = max(1.0, totals["gap"] * RAREST)
     ends = _sums(events.where("place = 'end'").select("word", "kind", "stop", F.lit(None).alias("following"), F.lit(None).alias("shape"), F.col("n").alias("b"), "n"), least)[0]
     starts = _sums(events.where("place = 'start'").select(F.lit(None).alias("word"), F.lit(None).alias("kind"), F.lit("").alias("stop"), "following", "shape", F.col("n").alias("b"), "n"), least)[1]
@@ -215,6 +357,7 @@ def train(texts: DataFrame) -> Model:
         left, right = _sums(_expected(gaps_, model), least)
         model = _maximised(left, right, ends, starts, first=model is None)
         model.short = short
+    model.words = words
     return model
 
 
@@ -334,6 +477,11 @@ def split(text: str, model: Model) -> list[tuple[int, int]]:
                 if p > 0.5:
                     found.append((start + begin, start + end))
                     begin = after
+        elif model.words and len(words := unmarked(line)) > 1:
+            for (_, end, _), (after, _, _), p in zip(words, words[1:], model.words.posteriors([w for _, _, w in words])):
+                if p > 0.5:
+                    found.append((start + begin, start + end))
+                    begin = after
         found.append((start + begin, start + len(line)))
     return found
 
