@@ -1,8 +1,9 @@
 """Personal information inside free text, found by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, words that announce a telephone or identity number, titles
-and phrases that introduce names, and words for streets. From each anchor a deterministic parser expands to
-the boundaries of an email address, number, name or postal address and validates what it found. The parsers
+An Aho-Corasick automaton finds anchors: at-signs, schemes, international prefixes, words that announce a
+telephone, identity, card or account number, titles and phrases that introduce names, and words for streets. From
+each anchor a deterministic parser expands to the boundaries of an email address, number, name or postal address,
+however far they lie, and validates what it found: lengths, and the check digits of cards and accounts. The parsers
 read a shadow of the text without invisible and disguised signs; places are those of the text as stored.
 """
 
@@ -10,7 +11,8 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,18 +21,23 @@ from .alike import CYRILLIC, GREEK, INVISIBLE, SPACES, Rewriter, _form, look_ali
 
 EMAIL, PHONE, IDENTITY, ADDRESS, NAME = "email", "phone", "id_number", "street_address", "person_name"
 
-# What announces numbers, names and addresses in the supported languages, in lower case.
+# What announces numbers, names and addresses in the supported languages, in lower case: this library's own lists, open to more.
 AT_SIGNS = ("@", " at ", "[at]", "(at)", "{at}", "＠")
 PHONE_CUES = (
     "call me", "reach me on", "phone", "tel.", "tel:", "telephone", "mobile:", "ring me", "rufen sie mich", "telefon", "erreichbar unter", "joindre au", "téléphone", "appelez", "llamarme", "llámenme", "teléfono",
     "ligar-me", "liguem", "telefone", "telemóvel", "по номеру", "телефон", "тел.", "звоните", "連絡先", "電話番号", "请打", "電話は", "电话是", "致电", "โทร", "เบอร์", "फोन", "मुझे", "اتصلوا", "هاتف", "الاتصال",
 )
+#: These announce a number only if nothing but signs stands between.
+DIRECT_CUES = ("my number is", "my mobile is", "my cell is", "reach ", "whatsapp", "fax", "hotline", "handy", "mobil:", "móvil", "celular", "portable", "cellulaire", "電話", "手机", "جوال", "मोबाइल", "มือถือ", "моб.", "whatsapp:")
+PREFIXES = ("+", "00")
+SCHEMES = ("://",)
+CHECKED_CUES = ("iban", "card", "karte", "konto", "carte", "compte", "tarjeta", "cuenta", "cartão", "conta", "карт", "счёт", "счет", "カード", "口座", "卡号", "账号", "บัตร", "บัญชี", "कार्ड", "खाता", "بطاقة", "حساب")
 IDENTITY_CUES = (
     "id on file", "social security number", "identity number", "passport", "national id", "ausweisnummer", "personalausweis", "pièce d'identité", "pièce d’identité", "numéro de sécurité", "documento", "dni", "паспорт", "снилс",
     "個人番号", "マイナンバー", "身份证", "บัตรประชาชน", "पहचान संख्या", "आधार", "رقم الهوية", "الهوية",
 )
 NAME_CUES = (
-    "my name is", "mr. ", "mrs. ", "ms. ", "mr ", "mrs ", "thanks, ", "contact ", "ask for ", "ich heiße", "mein name ist", "frau ", "herr ", "je m'appelle", "je m’appelle", "mme ", "m. ", "monsieur ", "madame ", "me llamo", "mi nombre es",
+    "my name is", "i am ", "i'm ", "ich bin ", "je suis ", "soy ", "sou ", "mr. ", "mrs. ", "ms. ", "mr ", "mrs ", "thanks, ", "contact ", "ask for ", "ich heiße", "mein name ist", "frau ", "herr ", "je m'appelle", "je m’appelle", "mme ", "m. ", "monsieur ", "madame ", "me llamo", "mi nombre es",
     "sra. ", "sr. ", "señora ", "señor ", "chamo-me", "meu nome é", "меня зовут", "ведёт", "ведет", "г-н ", "г-жа ", "我叫", "我是", "经办人是", "担当は", "と申します", "ชื่อ", "คุณ", "मेरा नाम", " जी ", "اسمي", "والمسؤول هو", "السيد ", " at the desk",
 )
 STREET_CUES = (
@@ -39,7 +46,11 @@ STREET_CUES = (
     "ул. ", "пер. ", "пр. ", "пл. ", "улица ", "送り先は", "住所は", "寄到", "地址是", "ถนน", "ซอย", "रोड", "मार्ग", "गली", "पथ", "شارع ", "طريق ", "حي ", "رقم ",
 )
 
-_CUES = ((EMAIL, AT_SIGNS), (PHONE, PHONE_CUES), (IDENTITY, IDENTITY_CUES), (NAME, NAME_CUES), (ADDRESS, STREET_CUES))
+#: These also begin much else, so a name after them must be written as one.
+LOOSE_NAME_CUES = ("i am ", "i'm ", "ich bin ", "je suis ", "soy ", "sou ")
+PREFIX, DIRECT, CHECKED, SCHEME = "prefix", "direct", "checked", "scheme"
+_CUES = ((EMAIL, AT_SIGNS), (PHONE, PHONE_CUES), (DIRECT, DIRECT_CUES), (PREFIX, PREFIXES), (IDENTITY, IDENTITY_CUES), (CHECKED, CHECKED_CUES), (SCHEME, SCHEMES), (NAME, NAME_CUES), (ADDRESS, STREET_CUES))
+_KIND = {DIRECT: PHONE, PREFIX: PHONE, CHECKED: IDENTITY}
 _BLANKS = frozenset(SPACES + " \t")
 _WIDTH = {c: " " for c in _BLANKS} | {chr(c): _form(chr(c)) for c in range(0xFF10, 0xFF5B) if unicodedata.category(chr(c)) in ("Nd", "Lu", "Ll")} | {"‑": "-", "’": "'"}
 
@@ -61,7 +72,10 @@ class Finder:
         c = functools.partial(regex.compile, flags=regex.V1)
         i = functools.partial(regex.compile, flags=regex.V1 | regex.I)
         dot = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )"
-        self.local = i(r"[a-z0-9](?:[a-z0-9._+%'-]*[a-z0-9])?(?= ?$)")
+        self.local_signs = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+%'-")
+        self.local = i(r"[a-z0-9](?:[a-z0-9._+%'-]*[a-z0-9])?$")
+        self.iban = i(r"(?<![a-z0-9])[a-z]{2}\d{2}(?: ?[a-z0-9]){11,30}(?![a-z0-9])")
+        self.card = c(r"(?<!\d)\d(?:[ -]?\d){12,18}(?![\d])")
         self.domain = c(rf" ?((?:[A-Za-z0-9]|(?<=[A-Za-z0-9])-(?=[A-Za-z0-9]))+(?:{dot}[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)+)")
         self.label = i(dot)
         self.phone = i(r"(?:\+ ?)?\(?\d(?:[ .\-/()]{0,2}\d){5,14}(?!\d)(?:,? ?(?:ext\.?|extension|x|durchwahl|доб\.?|poste|int\.?|ramal) ?\d{1,5})?")
@@ -85,6 +99,7 @@ class Finder:
             (c, r"(?:شارع|طريق|حي|زقاق) (?:[\p{Arabic}\p{M}]+ ){1,4}رقم \d+(?:، ?[\p{Arabic}\p{M}]+)?"),
         ]
         self.streets = [(flag(p.replace("TOWN", town)) if flag is c else regex.compile(p.replace("TOWN", f"(?-i:{town})"), regex.V1 | regex.I), flag(p.replace("TOWN", loose_town))) for flag, p in self.streets]
+        self.common = frozenset("a an the very so not from at in on of and happy sorry glad still just also here very new der die das ein eine le la les un une el los las o os um uma".split())
         self.thai_name = c(r"\s?([\p{Thai}\p{M}]{2,14} (?:(?!และ|เป็น|ค่ะ|ครับ|นะคะ|นะครับ|เลยครับ|จริงๆ|ที่)[\p{Thai}\p{M}])+)")
         self.han = c(r"[\p{Han}ヶ々]{2,4}?(?=[，。！？,.!?、；;\s]|$)")
         self.ja_before = c(r"[\p{Han}\p{Katakana}\p{Hiragana}ヶ々]+$")
@@ -105,41 +120,107 @@ class Finder:
         if len(low) != len(plain):
             low = "".join(s.lower() if len(s.lower()) == 1 else s for s in plain)
         pieces: list[tuple[int, int, str]] = []
+        pages: list[tuple[int, int]] = []
         for end, (kinds, cue) in self.automaton.iter(low):
+            if SCHEME in kinds:
+                pages.append(self._page(plain, end + 1))
+                continue
             around = plain[max(0, end - 30) : end + 60]
             cased = around != around.lower() and around != around.upper()
             for kind in kinds:
-                pieces += [(a, b, kind) for a, b in self._expand(kind, cue, plain, low, end + 1 - len(cue), end + 1, cased) if b > a]
+                pieces += [(a, b, _KIND.get(kind, kind)) for a, b in self._expand(kind, cue, plain, low, end + 1 - len(cue), end + 1, cased) if b > a]
         # Emails and addresses hold names and numbers of their own; longer pieces come first.
         order = {EMAIL: 0, ADDRESS: 1, IDENTITY: 2, PHONE: 3, NAME: 4}
-        taken: list[tuple[int, int, str]] = []
+        taken: list[tuple[int, int, str]] = []  # sorted, without overlaps
         for a, b, kind in sorted(set(pieces), key=lambda p: (order[p[2]], p[0] - p[1], p[0])):
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
-        return [(at[a], at[b - 1] + 1, kind) for a, b, kind in sorted(taken)]
+            if kind in (IDENTITY, PHONE) and any(x <= a and b <= y for x, y in pages):
+                continue
+            k = bisect_left(taken, (a, b, kind))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                taken.insert(k, (a, b, kind))
+        return [(at[a], at[b - 1] + 1, kind) for a, b, kind in taken]
+
+    @staticmethod
+    def _page(plain: str, at: int) -> tuple[int, int]:
+        """The address of a page around a scheme: numbers in it are none of a person."""
+        a = b = at
+        while a and not plain[a - 1].isspace():
+            a -= 1
+        while b < len(plain) and not plain[b].isspace():
+            b += 1
+        return a, b
+
+    @staticmethod
+    def _first(pattern, plain: str, b: int, within: int, begins: Callable[[str], bool]):
+        """The first match that begins at most so far after b, however long it is."""
+        for k in range(b, min(b + within + 1, len(plain))):
+            if begins(plain[k]) and (m := pattern.match(plain, k)):
+                return m
+        return None
 
     def _expand(self, kind: str, cue: str, plain: str, low: str, a: int, b: int, cased: bool) -> Iterator[tuple[int, int]]:
         if kind == EMAIL:
             yield from self._email(cue, plain, a, b)
         elif kind == PHONE:
-            m = self.phone.search(plain, b, b + 48)
-            if m and m.start() - b <= (2 if cue == "मुझे" else 14) and not any(x.isdigit() for x in plain[b : m.start()]) and 7 <= sum(x.isdigit() for x in m[0]) <= 20:
+            m = self._first(self.phone, plain, b, 2 if cue == "मुझे" else 14, lambda s: s in "+(" or s.isdigit())
+            if m and not any(x.isdigit() for x in plain[b : m.start()]) and 7 <= sum(x.isdigit() for x in m[0]) <= 20:
                 if not any(cue in low[b : m.start()] for cue in IDENTITY_CUES):
                     yield m.span()
+        elif kind == DIRECT:
+            m = self._first(self.phone, plain, b, 4, lambda s: s in "+(" or s.isdigit())
+            if m and not any(x.isalnum() for x in plain[b : m.start()]) and 7 <= sum(x.isdigit() for x in m[0]) <= 20:
+                yield m.span()
+        elif kind == PREFIX:
+            if a and (plain[a - 1].isalnum() or plain[a - 1] in ".,-/+"):
+                return
+            m = self.phone.match(plain, a)
+            digits = "".join(x for x in m[0] if x.isdigit()) if m else ""
+            number = digits[2:] if cue == "00" else digits
+            if number[:1] not in ("", "0") and (10 if cue == "00" else 8) <= len(number) <= 17:
+                yield m.span()
         elif kind == IDENTITY:
-            m = self.identity.search(plain, b, b + 60)
-            if m and m.start() - b <= 16 and sum(x.isdigit() for x in m[0]) >= 6:
+            m = self._first(self.identity, plain, b, 16, str.isalnum)
+            digits = [x for x in m[0] if x.isdigit()] if m else []
+            if len(digits) >= 6 and len(set(digits)) > 1:
                 yield m.span()
+        elif kind == CHECKED:
+            for pattern, valid in ((self.iban, is_account), (self.card, is_card)):
+                m = self._first(pattern, plain, b, 16, str.isalnum)
+                # Words may follow an account number: it ends where what is before the end is valid.
+                ends = [m.end(), *(m.start() + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " ")] if m else []
+                if end := next((e for e in ends if valid(plain[m.start() : e])), None):
+                    yield m.start(), end
+                    return
         elif kind == ADDRESS:
             for strict, loose in self.streets:
-                for m in (strict if cased else loose).finditer(plain, max(0, a - 60), b + 90):
-                    if m.start() <= b + 1 and m.end() >= a:
-                        yield m.span()
+                yield from self._around(strict if cased else loose, plain, a, b)
         else:
             yield from self._name(cue, plain, low, a, b, cased)
 
+    @staticmethod
+    def _around(pattern, plain: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """What matches around a cue; the stretch that is looked into holds so many words, and grows for as long as a match reaches its ends."""
+        left, right = a, b
+        for _ in range(9):
+            left = max(plain.rfind(" ", 0, max(left - 1, 0)), 0)
+        for _ in range(14):
+            right = plain.find(" ", right + 1) if right < len(plain) else right
+            right = len(plain) if right < 0 else right
+        before, after = max(60, a - left), max(90, right - b)
+        while True:
+            start, stop = max(0, a - before), min(len(plain), b + after)
+            found = [m.span() for m in pattern.finditer(plain, start, stop) if m.start() <= b + 1 and m.end() >= a]
+            if not any((x == start and start) or (y == stop and stop < len(plain)) for x, y in found):
+                yield from found
+                return
+            before, after = 2 * before, 2 * after
+
     def _email(self, cue: str, plain: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-        before = self.local.search(plain[max(0, a - 80) : a])
+        stop = a - 1 if a and plain[a - 1] == " " else a
+        start = stop
+        while start and plain[start - 1] in self.local_signs:
+            start -= 1
+        before = self.local.search(plain[start:stop])
         after = self.domain.match(plain, b)
         if not before or not after:
             return
@@ -153,7 +234,11 @@ class Finder:
                 break
         domain = plain[shift:end]
         if self.label.search(domain) and self.label.split(domain)[-1].isalpha() and len(self.label.split(domain)[-1]) > 1:
-            yield max(0, a - 80) + before.start(), end
+            yield start + before.start(), end
+
+    def _is_name(self, words: str) -> bool:
+        """Two or three words, none of which a text like this would write in capitals anyway."""
+        return 2 <= len(words.split(" ")) <= 3 and not any(w in self.common for w in words.lower().split(" "))
 
     def _name(self, cue: str, plain: str, low: str, a: int, b: int, cased: bool) -> Iterator[tuple[int, int]]:
         if a and cue[0].isalpha() and low[a - 1].isalpha() and ord(cue[0]) < 0x0E00:
@@ -178,9 +263,14 @@ class Finder:
                 yield start, a
             return
         elif cue == " at the desk":
-            m = next((x for x in (self.name if cased else self.loose_name).finditer(plain, max(0, a - 45), a) if x.end() == a), None)
+            m = next((x for x in (self.name if cased else self.loose_name).finditer(plain, max(0, a - 200), a) if x.end() == a), None)
         else:
             start = b + len(plain[b:]) - len(plain[b:].lstrip(" "))
+            if cue in LOOSE_NAME_CUES:
+                m = self.name.match(plain, start) if cased else None
+                if m and self._is_name(m[0]):
+                    yield m.span()
+                return
             if cue in ("m. ", "mr ", "contact ", "ask for ", "thanks, ", "sr. ") and not cased:
                 if cue not in ("thanks, ", "contact ", "sr. ") or low[start : start + 3] in ("mrs", "mr.", "ms."):
                     return
@@ -191,6 +281,18 @@ class Finder:
             yield m.span(1) if m.re.groups else m.span()
 
 
+def is_card(number: str) -> bool:
+    """Whether the digits of a card number have the right sum, every second one doubled."""
+    digits = [int(x) for x in number if x.isdigit()]
+    return len(set(digits)) > 1 and sum(sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def is_account(number: str) -> bool:
+    """Whether an account number's remainder by 97 is 1, its first four signs moved to the end and letters read as numbers."""
+    signs = number.replace(" ", "").upper()
+    return 15 <= len(signs) <= 34 and signs.isascii() and int("".join(str(int(x, 36)) for x in signs[4:] + signs[:4])) % 97 == 1
+
+
 INVISIBLE_SET = frozenset(INVISIBLE)
 
 
