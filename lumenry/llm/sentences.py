@@ -149,7 +149,7 @@ def _addressed(line: str, at: int) -> bool:
 
 
 #: Cells of the tables of `Words`, of pairs of words and of single ones: they don't grow with the corpus.
-PAIR_CELLS, WORD_CELLS = 1 << 19, 1 << 17
+PAIR_CELLS, WORD_CELLS = 1 << 18, 1 << 16
 #: What a word's own counts are smoothed by, in words; and what a sentence's second word's are, in sentences.
 SMOOTH, SMOOTH_SECOND = 5.0, 5.0
 #: Stands for the end of a sentence among words.
@@ -342,9 +342,11 @@ def train(texts: DataFrame) -> Model:
     totals = {r["place"]: r["n"] for r in events.groupBy("place").agg(F.sum("n").alias("n")).collect()}
     short = math.log((totals.get("short", 0) + 1) / (totals.get("short", 0) + totals.get("long", 0) + 20))
     words = Words()
-    counted = events.where(F.col("place").isin(*Words.TABLES)).select("place", F.col("word").cast("int").alias("cell"), "n").toPandas()  # no more than the tables' cells
-    for name, own in counted.groupby("place"):
-        getattr(words, name)[own["cell"].to_numpy()] = own["n"].to_numpy()
+    names = list(Words.TABLES)
+    table_no = F.array_position(F.array(*map(F.lit, names)), F.col("place")).cast("tinyint")
+    counted = events.where(F.col("place").isin(*names)).select(table_no.alias("table"), F.col("word").cast("int").alias("cell"), "n").toPandas()  # no more than the tables' cells
+    for number, own in counted.groupby("table"):
+        getattr(words, names[number - 1])[own["cell"].to_numpy()] = own["n"].to_numpy()
     words = words.ready() if len(counted) else None
     if not totals.get("gap"):
         return Model(short=short, words=words)
