@@ -3,7 +3,8 @@
 Character bigram models with additive smoothing are trained on clean records, those in which no chain of
 encoding and decoding applies. Every stretch to which a chain applies is scored as it stands and as each
 chain would restore it, in its context, and the likeliest reading is accepted beyond a margin, which is
-chosen on held-out clean records and garbled copies of them.
+chosen on held-out clean records and garbled copies of them. Signs that a decoder puts where it gave up are scored
+too, against the context without them: beyond the margin they mark a text, though nothing can be restored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ COMMON = tuple(SINGLE.index(name) for name in ("cp1252", "cp1251"))
 AT_ONCE, SCORED_AT_ONCE = 100_000, 400_000
 
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+_LOST_RUN = re.compile("[\ufffd\x80-\x84\x86-\x9f]+")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 #: More western signs beyond ASCII in a row than any language writes.
 _CROWDED = re.compile("[\x80-\xff\u0152-\u0178\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{4,}")
@@ -355,6 +357,19 @@ def _readings_of(lines: list[str], model: Model) -> list[list[tuple[float, int,
     return found
 
 
+def lost_odds(texts: list[str], model: Model) -> list[float]:
+    """Of each text, how much likelier the likeliest of its runs of lost bytes makes it to be left out; -inf without such."""
+    runs = [(i, m.span()) for i, t in enumerate(texts) for m in _LOST_RUN.finditer(t)]
+    sides = [((texts[i][a - 1] if a else "\n"), texts[i][a:b], (texts[i][b] if b < len(texts[i]) else "\n")) for i, (a, b) in runs]
+    number: dict[str, int] = {}
+    pairs = [(number.setdefault(x + run + y, len(number)), number.setdefault(x + y, len(number))) for x, run, y in sides]
+    scores = model.scores(list(number))
+    found = [-np.inf] * len(texts)
+    for (i, _), (whole, without) in zip(runs, pairs):
+        found[i] = max(found[i], float(scores[without] - scores[whole]))
+    return found
+
+
 def _accept(text: str, better: list[tuple[float, int, int, str]]) -> tuple[str, float]:
     """The text with the likeliest of its better readings that don't overlap, and what they gain."""
     gain, taken = 0.0, []
@@ -423,8 +438,8 @@ def errors_by_margin(texts: list[str], model: Model) -> tuple[list[int], int]:
     for (k, _), readings in zip(lines, readings_of([line for _, line in lines], model)):
         odds[k] = max([odds[k], *(r[0] for r in readings)])
     # A text is changed just if in its first round some reading is beyond the margin.
-    lost, bad = np.array([_LOST.search(t) is not None for t, _ in cases], bool), np.array([b for _, b in cases], bool)
-    return [int((((odds > margin) | lost) != bad).sum()) for margin in MARGINS], len(cases)
+    odds, bad = np.maximum(odds, lost_odds([t for t, _ in cases], model)), np.array([b for _, b in cases], bool)
+    return [int(((odds > margin) != bad).sum()) for margin in MARGINS], len(cases)
 
 
 def _validated_margin(held_out: DataFrame, model: Model) -> float:
@@ -446,7 +461,7 @@ def _validated_margin(held_out: DataFrame, model: Model) -> float:
 def repaired(docs: DataFrame, id_column: str, text_column: str, model: Model) -> DataFrame:
     """(id, garbled, restored, log_odds) of every row: whether the text has garbled characters, and its likeliest reading.
 
-    Characters that a decoder gave up on mark a text as garbled though they can't be restored. Null texts
+    Characters that a decoder gave up on mark a text as garbled, if the model says so, though they can't be restored. Null texts
     come out as not garbled, with a null reading. Equal ids are equal rows.
     """
     spark: SparkSession = docs.sparkSession
@@ -456,7 +471,8 @@ def repaired(docs: DataFrame, id_column: str, text_column: str, model: Model) ->
         for batch in batches:
             texts = batch.column(1).to_pylist()
             readings = [(None if t is None else r, gain) for t, (r, gain) in zip(texts, restore([t or "" for t in texts], shared.value))]
-            bad = [t is not None and (gain > 0 or _LOST.search(t) is not None) for t, (_, gain) in zip(texts, readings)]
+            lost = lost_odds([t or "" for t in texts], shared.value)
+            bad = [t is not None and (gain > 0 or odds > shared.value.margin) for t, (_, gain), odds in zip(texts, readings, lost)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bad), pa.array([r for r, _ in readings], pa.string()), pa.array([g for _, g in readings], pa.float64())], [id_column, "garbled", "restored", "log_odds"])
 
     rows = docs.select(id_column, text_column)
