@@ -160,8 +160,19 @@ def word_id(word: str) -> int:
     return zlib.crc32(_DIGITS.sub("0", word.lower()).encode("utf-8", "surrogatepass")) or 1
 
 
+class _Ids(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = found = word_id(word)
+        return found
+
+
+def _pair_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (a * np.uint64(0x9E3779B1) + b * np.uint64(0x85EBCA6B)) >> np.uint64(7)
+
+
 def _pair_cell(a: int, b: int) -> int:
-    return (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) % PAIR_CELLS
+    return ((a * 0x9E3779B1 + b * 0x85EBCA6B & 0xFFFFFFFFFFFFFFFF) >> 7) % PAIR_CELLS
 
 
 class Words:
@@ -178,29 +189,28 @@ class Words:
 
     def count(self, marked: list[tuple[str, list]]) -> None:
         """Adds lines with marks, each with its gaps. At line ends and strong marks a boundary is certain; at other marks nothing is counted."""
-        found: dict[str, list[int]] = {name: [] for name in self.TABLES}
-        known: dict[str, int] = {}
+        ids_of, ids, sizes, sure, certain = _Ids(), [], [], [], []
         for line, between in marked:
-            begin, certain = 0, True
+            begin, known = 0, True
             for end, after, _, stop, _ in [*between, (len(line), len(line), None, "x", None)]:
                 words = _WORD.findall(line[begin:end])
-                for w in words:
-                    if w not in known:
-                        known[w] = word_id(w)
-                ids = [known[w] for w in words]
-                sure = stop in STRONG
-                if ids:
-                    found["pairs"] += map(_pair_cell, ids, ids[1:])
-                    found["uses"] += ids if sure else ids[:-1]
-                    if sure:
-                        found["ends"].append(ids[-1])
-                    if certain:
-                        found["starts"].append(ids[0])
-                        found["seconds"].append(_pair_cell(ids[0], ids[1] if len(ids) > 1 else END))
-                begin, certain = after, sure
-        for name, cells in found.items():
-            table = getattr(self, name)
-            table += np.bincount(np.array(cells, np.int64) % len(table), minlength=len(table))
+                if words:
+                    ids += map(ids_of.__getitem__, words)
+                    sizes.append(len(words))
+                    sure.append(stop in STRONG)
+                    certain.append(known)
+                begin, known = after, stop in STRONG
+        if not sizes:
+            return
+        w, ends, ended, begun = np.array(ids, np.uint64), np.cumsum(sizes), np.array(sure), np.array(certain)
+        first, last = (ends - sizes)[begun], ends[ended] - 1
+        inner = np.ones(len(w), bool)
+        inner[ends - 1] = False
+        at = np.flatnonzero(inner)
+        single = np.array(sizes)[begun] == 1
+        second = np.where(single, np.uint64(END), w[np.minimum(first + 1, len(w) - 1)])
+        for table, cells in ((self.pairs, _pair_cells(w[at], w[at + 1])), (self.uses, w[np.concatenate([at, last])]), (self.ends, w[last]), (self.starts, w[first]), (self.seconds, _pair_cells(w[first], second))):
+            table += np.bincount((cells % np.uint64(len(table))).astype(np.int64), minlength=len(table))
 
     def ready(self) -> Words:
         self._uses, self._ends, self._starts = max(1.0, float(self.uses.sum())), float(self.ends.sum()), float(self.starts.sum())
