@@ -308,7 +308,19 @@ def alignment_by_split(spark, sf_dir):
     return align.reference_counts(align.aligned(refs, last), ["split"])
 
 
-@query()
+# Records whose payload is an object, with their label and items: of the payload, or of the older columns where it is blank.
+_ITEMS = f"""SELECT row_id, coalesce(b->>'$.overall_sentiment.sentiment', b->>'$.overall_sentiment.label', b->>'$.overall_sentiment') AS label, coalesce(b->'$.main_themes', b->'$.themes') AS themes, coalesce(b->'$.metadata', b->'$.metadata_entities') AS entities FROM ({_BODY})
+    UNION ALL SELECT row_id, overall_sentiment, CASE WHEN json_valid(main_themes) THEN main_themes::JSON END, CASE WHEN json_valid(metadata) THEN metadata::JSON END FROM survey WHERE coalesce({_stripped("response_text")}, '') = ''
+      AND coalesce({_stripped("overall_sentiment")}, '') || coalesce({_stripped("sentence_sentiments")}, '') || coalesce({_stripped("metadata")}, '') || coalesce({_stripped("main_themes")}, '') <> ''"""
+
+
+def _named_sql(items: str, name: str) -> str:
+    return f"coalesce(len(list_filter(json_extract_string({items}, '$[*].{name}'), lambda x: {_stripped('x')} <> '')), 0)::INT"
+
+
+@query(f"""SELECT row_id, CASE WHEN lower(trim(label)) IN ('positive','negative','neutral') THEN lower(trim(label)) ELSE 'neutral' END AS overall_sentiment, {_named_sql("themes", "theme")} AS themes,
+    len(list_filter(list_transform(regexp_extract_all({_stripped("raw_text")}, '[^.!?]+[.!?]?'), lambda x: {_stripped("x")}), lambda x: x <> ''))::INT AS sentences, {_named_sql("entities", "metadata_name")} AS entities
+    FROM ({_ITEMS}) JOIN (SELECT row_id, raw_text FROM survey) USING (row_id) WHERE {_stripped("raw_text")} <> ''""")
 def assembled_predictions(spark, sf_dir):
     a = F.col("analysis")
     read = analyses(spark, sf_dir).where("analysis is not null and raw_text <> ''")
