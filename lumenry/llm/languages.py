@@ -37,6 +37,7 @@ SPELLINGS = {
 }
 MISSING = ("", "und", "unknown")
 FAMILIES = {"germanic": ("en", "de"), "romance": ("fr", "es", "pt"), "han": ("zh", "ja")}
+TOLD_BY_SCRIPT = ("ru", "ja", "th", "hi", "ar")
 #: Rows of each label that the classifiers are fitted on, at most.
 SAMPLE = 300
 FEATURES = 1 << 16
@@ -50,6 +51,7 @@ _SCRIPTS = {"ja": "[぀-ヿｦ-ﾟ]", "han": "[㐀-鿿豈-﫿]", "th": "[ก-๛
 _SCRIPTS = {k: re.compile(v) for k, v in _SCRIPTS.items()}
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _CYRILLIC_WORD = re.compile(r"(?<![A-Za-z])[Ѐ-ӿ]+(?![A-Za-z])")
+_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _OWN_CYRILLIC = re.compile("[бвгджзийклмнптфцчшщъыьэюяё]")
 
@@ -78,6 +80,13 @@ def script_of(text: str) -> str:
     return "latin" if latin else best if counts[best] else ""
 
 
+def script_share(text: str, code: str) -> float:
+    """The share of a text's letters that are of the language's own script."""
+    counts = {k: len(p.findall(text)) for k, p in _SCRIPTS.items()} | {"latin": len(_LATIN.findall(text)), "ru": len(_CYRILLIC.findall(text))}
+    own = counts[code] + (counts["han"] if code == "ja" else 0)
+    return own / max(1, sum(counts.values()))
+
+
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all texts in a row, and the text of each: trigrams of letters, words set off by spaces."""
     cps, starts = codepoints([f" {t.lower()} " for t in texts])
@@ -219,7 +228,10 @@ def identify(texts: list[str], model: Model, sentences: SentenceModel) -> list[l
     asked = [(i, k) for i, row in enumerate(scripts) for k, s in enumerate(row) if s in ("latin", "han")]
     margins = model.margins([texts[i][slice(*places[i][k])] for i, k in asked])
     told = {at: model.decide(m, scripts[at[0]][at[1]]) for at, m in zip(asked, margins)}
-    return [_stretches([(a, b, *told.get((i, k), (s, 1.0 if s else 0.0))) for k, ((a, b), s) in enumerate(zip(spans, scripts[i]))]) for i, spans in enumerate(places)]
+    found = [_stretches([(a, b, *told.get((i, k), (s, 1.0 if s else 0.0))) for k, ((a, b), s) in enumerate(zip(spans, scripts[i]))]) for i, spans in enumerate(places)]
+    # Where the script decides, its share of the letters is the confidence.
+    by_script = lambda i, a, b, code, sure: script_share(texts[i][a:b], code) if code in TOLD_BY_SCRIPT and sure == 1.0 else sure
+    return [[(a, b, code, by_script(i, a, b, code, sure)) for a, b, code, sure in row] for i, row in enumerate(found)]
 
 
 def label_stretches(rows: DataFrame, key: str, model: Model, sentences: SentenceModel) -> DataFrame:

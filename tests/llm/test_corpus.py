@@ -360,3 +360,8 @@ def test_copies_with_many_nulls_and_field_names_that_differ_in_case(spark):
     df = spark.createDataFrame(rows, "row_id bigint, raw_text string, response_text string")
     got = {r["row_id"]: (r["first_row_id"], r["copies"]) for r in copies.survey_copies(df).collect()}
     assert got == {i: (0, 200) for i in range(200)} | {300: (300, 2), 301: (300, 2), 302: (302, 1)}
+
+
+def test_confidence_of_a_script_is_its_share_of_the_letters():
+    assert languages.script_share("Мы ждали", "ru") == 1.0 and languages.script_share("Мы abcd", "ru") == 2 / 6
+    assert languages.script_share("日本ですabc", "ja") == 4 / 7 and languages.script_share("", "th") == 0.0
