@@ -227,8 +227,10 @@ def matched_keys(spark, sf_dir):
 
 def scored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(experiment_id, key, gold, predicted, valid) of every last prediction whose reference has a sentiment; unreadable ones are 'invalid'."""
-    labels = align.keyed(table(spark, sf_dir, "survey"), "example_id").select("key", normalize.overall_label(_payload()).alias("gold"), "ingested_at", "row_id")
-    refs = align.last_by_key(labels.where("gold is not null"), ["key"], [F.col("ingested_at"), F.col("row_id")]).select("key", "gold")
+    own = F.when(~fn.is_missing(F.col("response_text")), normalize.overall_label(F.col("response_text"))).otherwise(fn.sentiment(F.col("overall_sentiment")))
+    labels = align.keyed(table(spark, sf_dir, "survey"), "example_id").select("key", own.alias("gold"), "ingested_at", "row_id").where("key is not null")
+    # The last label that there is; labels are read once, so none is sought before they are grouped.
+    refs = labels.groupBy("key").agg(F.max_by("gold", F.struct(F.col("gold").isNotNull(), "ingested_at", "row_id")).alias("gold")).where("gold is not null")
     last = _last_predictions(spark, sf_dir).select("experiment_id", "key", normalize.overall_label(F.col("prediction")).alias("label"), "is_valid_json")
     ok = F.coalesce(F.col("is_valid_json"), F.lit(True)) & F.col("label").isNotNull()
     return last.join(refs, "key").select("experiment_id", "key", "gold", F.when(ok, F.col("label")).otherwise(align.INVALID).alias("predicted"), ok.alias("valid"))
