@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import all_spans, key_text
-from .spans import greedy_nonoverlap
+from ..functions.text import key_text
+from ..sources.tables import cut_lineage
 
-#: Signs of a phrase's beginning that texts are joined on.
+#: Signs of the shortest beginning of a phrase that texts are filtered by.
 ANCHOR = 4
 #: Phrases, and their signs, of a lexicon that every task may hold; a larger one is joined.
 HELD, HELD_SIGNS = 100_000, 4_000_000
+#: Bits a phrase, and the logarithm of the most bits, of the filter for texts of a larger one.
+BITS, MOST_LOG = 64, 28
+#: Signs of texts that are filtered at once, or one text.
+PIECE = 1 << 20
 SPANS = "array<struct<start:int,end:int,type:string>>"
+_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
+_BASE = 0x9E3779B97F4A7C15
 
 
 def train(spans: DataFrame) -> DataFrame:
@@ -53,7 +60,8 @@ def predict(docs: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, spans): of each text the phrases' occurrences, longest first, without overlaps. All rows come out, a null text with none.
 
     A lexicon of a checked size goes to every task, which reads each text once with an automaton of all phrases;
-    nothing is shuffled. A larger one, which grows with the data, meets the texts in a join.
+    nothing is shuffled. Of a larger one, which grows with the data, every task holds a filter of bounded size, and
+    what passes it is joined.
     """
     entries = lexicon.where("phrase <> ''").select("phrase", "type")
     held = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("signs")).first()
@@ -73,7 +81,6 @@ def by_automaton(docs: DataFrame, key: str, phrases: dict[str, str]) -> DataFram
             automaton.add_word(phrase, phrase)
         if shared.value:
             automaton.make_automaton()
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
         for batch in batches:
             found = []
             for low in batch.column("low").to_pylist():
@@ -86,7 +93,7 @@ def by_automaton(docs: DataFrame, key: str, phrases: dict[str, str]) -> DataFram
                         hits.append((-len(phrase), phrase, start))
                 taken = _without_overlaps(hits, len(low or ""))
                 found.append([{"start": a, "end": a + len(p), "type": shared.value[p]} for a, p in taken])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [key, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _KIND)], [key, "spans"])
 
     rows = docs.select(key, F.lower("text").alias("low"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, spans {SPANS}")
@@ -103,17 +110,105 @@ def _without_overlaps(hits: list[tuple[int, str, int]], size: int) -> list[tuple
     return sorted(taken)
 
 
+class _Runs:
+    """Hashes of runs of signs of a text: sums of signs times powers of a base, equal for equal runs wherever they stand."""
+
+    def __init__(self, text: str):
+        self.signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        power = lambda b: np.cumprod(np.full(len(self.signs), b, np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.signs + np.uint64(1)) * power(_BASE))])
+        self.back = power(pow(_BASE, -1, 1 << 64))
+
+    def bits(self, at: np.ndarray, n: int, whole: bool, log: int) -> np.ndarray:
+        """Bits of a filter of 2 ** log for the runs of n signs at these places, as phrases or as beginnings of phrases."""
+        x = (self.sums[at + n] - self.sums[at]) * self.back[at] + np.uint64(2 * n + whole)
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x >> np.uint64(64 - log)).astype(np.int64)
+
+
+def _steps(n: int) -> list[int]:
+    """Sizes of the beginnings by which phrases of n signs are found."""
+    return [ANCHOR << k for k in range(n.bit_length()) if ANCHOR << k <= n]
+
+
+def _filter(entries: DataFrame, log: int) -> np.ndarray:
+    """Bytes of the filter of all phrases and their beginnings. Only whole parts of it reach the driver."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrases = batch.column(0).to_pylist()
+            sizes = np.array([len(p) for p in phrases], np.int64)
+            runs, starts = _Runs("".join(phrases)), np.cumsum(sizes) - sizes
+            found = [runs.bits(starts[sizes >= n], n, False, log) for n in _steps(int(sizes.max(initial=0)))]
+            found += [runs.bits(starts[sizes == n], n, True, log) for n in np.unique(sizes).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *found])))], ["bit"])
+
+    # The SQL functions number bits from 1, and parts of 4096 bytes.
+    bit = F.col("bit") + 1
+    parts = entries.select("phrase").mapInArrow(bits, "bit bigint").groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bytes"))
+    whole = np.zeros(1 << (log - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        whole[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bytes"], np.uint8)
+    return whole
+
+
 def by_join(docs: DataFrame, key: str, entries: DataFrame) -> DataFrame:
-    """Texts meet only phrases whose beginning they hold: the first signs of a phrase join the texts' runs of as many
-    signs on equality. Only keys and runs are exploded; a text is joined to the phrases that it may hold."""
-    size = F.least(F.length("phrase"), F.lit(ANCHOR))
-    begun = entries.select("phrase", "type", size.alias("n"), F.substring("phrase", 1, ANCHOR).alias("anchor"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.substring("low", i, n).alias("anchor")))
-    anchors = F.array_distinct(F.concat(*[F.when(F.length("low") >= n, runs(n)).otherwise(F.array().cast("array<struct<n:int,anchor:string>>")) for n in range(1, ANCHOR + 1)]))
-    texts = docs.where("text is not null").select(key, "text", F.lower("text").alias("low"))
-    met = texts.select(key, F.inline(anchors)).join(begun, ["n", "anchor"]).select(key, "phrase", "type").distinct()
-    hits = met.join(texts, key).where(F.contains("low", F.col("phrase"))).select(key, "phrase", "type", F.inline(all_spans(F.col("text"), F.col("phrase")))).distinct()
-    order = F.struct((-F.length("phrase")).alias("rank"), "phrase", "start", "end", "type")
-    ordered = F.transform(F.array_sort(F.collect_list(order)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["type"].alias("type")))
-    chosen = hits.groupBy(key).agg(greedy_nonoverlap(ordered).alias("spans"))
+    """Texts are scanned once, against a filter of the phrases and of their beginnings of 4, 8, 16 and more signs. The runs of
+    signs that pass, hardly more than occur, are joined with the phrases on equality; no text is shuffled."""
+    entries = cut_lineage(entries)
+    counts = {r["size"]: r["n"] for r in entries.groupBy(F.length("phrase").alias("size")).agg(F.count("*").alias("n")).collect()}
+    log = min(MOST_LOG, max(15, (BITS * sum(counts.values())).bit_length()))
+    shared, sizes = docs.sparkSession.sparkContext.broadcast(_filter(entries, log)), sorted(counts)
+
+    def passing(runs: _Runs, at: np.ndarray, room: np.ndarray, n: int, whole: bool) -> np.ndarray:
+        at = at[room[at] >= n]
+        bits = runs.bits(at, n, whole, log)
+        return at[(shared.value[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column("low").to_pylist()]
+            ends = np.cumsum([len(x) for x in texts])
+            a = 0
+            while a < len(texts):
+                done = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+                own, starts = texts[a:b], np.concatenate([[done], ends[a : b - 1]]) - done
+                runs = _Runs("".join(own))
+                text_of = np.repeat(np.arange(b - a), np.diff(np.append(starts, ends[b - 1] - done)))
+                room = (ends[a:b] - done)[text_of] - np.arange(len(text_of))
+                at, step, found = np.arange(len(text_of)), 0, []
+                for n in sizes:
+                    for step in [s for s in _steps(n) if s > step]:
+                        at = passing(runs, at, room, step, False)
+                    found.append((passing(runs, at, room, n, True), n))
+                place = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in found)])
+                size = np.repeat([n for _, n in found], [len(p) for p, _ in found])
+                of = text_of[place]
+                start = place - starts[of]
+                phrases = [own[t][s : s + n] for t, s, n in zip(of.tolist(), start.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + a)), pa.array(phrases, pa.string()), pa.array(start, pa.int32())], [key, "phrase", "start"])
+                a = b
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.column("hits").to_pylist():
+                last: dict[str, int] = {}
+                types: dict[str, str] = {}
+                hits = []
+                for hit in sorted(row, key=lambda h: h["start"]):
+                    phrase, start = hit["phrase"], hit["start"]
+                    if start >= last.get(phrase, 0):  # occurrences of one phrase don't overlap
+                        last[phrase], types[phrase] = start + len(phrase), hit["type"]
+                        hits.append((-len(phrase), phrase, start))
+                taken = _without_overlaps(hits, max(last.values()))
+                found.append([{"start": a, "end": a + len(p), "type": types[p]} for a, p in taken])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _KIND)], [key, "spans"])
+
+    texts = docs.where("text is not null").select(key, F.lower("text").alias("low"))
+    kind = texts.schema[key].dataType.simpleString()
+    hits = texts.mapInArrow(scan, f"`{key}` {kind}, phrase string, start int").join(entries, "phrase")
+    chosen = hits.groupBy(key).agg(F.collect_list(F.struct("start", "phrase", "type")).alias("hits")).mapInArrow(choose, f"`{key}` {kind}, spans {SPANS}")
     return docs.select(key).join(chosen, key, "left").select(key, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

@@ -200,3 +200,31 @@ def test_cut_tables_are_dropped(spark):
 def test_unique_last_without_an_order_takes_the_last_row(spark):
     rows = align.keyed(spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "id string, v int").coalesce(1), "id")
     assert [r["v"] for r in align.unique_last(rows).collect()] == [2]
+
+
+def test_a_large_lexicon_meets_only_texts_that_hold_its_phrases(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    stem = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    # Many phrases share each beginning of four signs, so a text that holds a beginning holds few of its phrases.
+    phrases = sorted({rng.choice(["norv", "casm", "wexm"]) + stem(rng.randint(1, 20)) for _ in range(3000)} | {"a 長い", "é", "norv"})
+    lex = spark.createDataFrame([(p, str(i % 5)) for i, p in enumerate(phrases)], "phrase string, type string")
+    texts = [" ".join([rng.choice(["norv", "casm", "wexm"]) + stem(25), *(rng.choice(phrases).upper() for _ in range(5)), "x" * i]) for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (200, ""), (201, None)], "id int, text string")
+    as_set = lambda df: {(r["id"], tuple(tuple(s) for s in r["spans"])) for r in df.collect()}
+    want = as_set(lexicon.predict(docs, "id", lex))
+    monkeypatch.setattr(lexicon, "HELD", 3)
+
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    assert as_set(lexicon.predict(docs, "id", lex)) == want and len(want) == 202
+    assert shuffled() - before < 30_000
+    monkeypatch.setattr(lexicon, "PIECE", 50)  # texts in pieces give the same, and so does a filter that all passes
+    monkeypatch.setattr(lexicon, "BITS", 1)
+    assert as_set(lexicon.predict(docs, "id", lex)) == want
